@@ -45,24 +45,20 @@ def _clamp(value: Column, low: Column | float, high: Column | float) -> Column:
 
 
 def normalise_crop(x_offset: Column | str, y_offset: Column | str, zoom: Column | str, *,
-                   width: int = C.FRAME_WIDTH, height: int = C.FRAME_HEIGHT,
                    overlay: int = C.OVERLAY_WIDTH) -> Column:
-    """Offsets and zoom pulled back into the frame, as struct(x_offset, y_offset, zoom)."""
-    z = _clamp(_c(zoom), C.ZOOM_MIN, C.ZOOM_MAX)
-    box_x, box_y = F.lit(float(width - overlay)) / z, F.lit(float(height)) / z
-    travel_x, travel_y = F.lit(float(width)) - box_x, F.lit(float(height)) - box_y
-    left, top = _c(x_offset) * travel_x, _c(y_offset) * travel_y
-    left_in = _clamp(left, 0.0, F.greatest(F.lit(0.0), F.lit(float(width)) - box_x))
-    top_in = _clamp(top, 0.0, F.greatest(F.lit(0.0), F.lit(float(height)) - box_y))
-    moved = (left != left_in) | (top != top_in)
-
-    def offset(old: Column, start: Column, travel: Column) -> Column:
-        back = F.when(travel != 0, _clamp(start / travel, 0.0, 1.0)).otherwise(F.lit(0.0))
-        return F.when(moved, back).otherwise(old)
+    """Offsets and zoom pulled back into the frame, as struct(x_offset, y_offset, zoom).
 
+    The box may travel over the part of the frame it does not cover, so an offset beyond [0, 1] is a
+    box beyond the frame and goes to that edge. Without zoom there is no travel in height (nor in
+    width, without overlay): the offset of a box that had to move is then 0.
+    """
+    x, y = _c(x_offset), _c(y_offset)
+    z = _clamp(_c(zoom), C.ZOOM_MIN, C.ZOOM_MAX)
+    stuck = ~(x.between(0.0, 1.0) & y.between(0.0, 1.0)) & (z == 1.0)
+    x_in, y_in = _clamp(x, 0.0, 1.0), _clamp(y, 0.0, 1.0)
     return F.struct(
-        offset(_c(x_offset), left_in, travel_x).alias("x_offset"),
-        offset(_c(y_offset), top_in, travel_y).alias("y_offset"),
+        (x_in if overlay else F.when(stuck, 0.0).otherwise(x_in)).alias("x_offset"),
+        F.when(stuck, 0.0).otherwise(y_in).alias("y_offset"),
         z.alias("zoom"),
     )
 

@@ -15,6 +15,7 @@ from reelbook.operators.joins import lookup, new_games
 from reelbook.operators.listings import expired_images
 from reelbook.operators.numbering import surrogate_keys
 from reelbook.operators.teams import identify_teams
+from reelbook.session import stage
 from reelbook.sources.documents import initial_edit_document
 
 
@@ -36,25 +37,29 @@ def _settled(items: DataFrame, order: Sequence[str], update_on: str) -> DataFram
 
     Items apply one after the other and an item with the current title changes nothing, so date and
     status come from the first item of the last run of equal titles. ``renamed`` tells that another
-    title came before that run. Ids with a single title, nearly all, take one aggregation.
+    title came before that run. Ids with a single title, nearly all, are settled by the one pass over
+    the items; the others are looked up again.
     """
     row = F.struct("title", "date", "status")
     seen = items.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("_at", F.struct(*order))
     if update_on == "any":
         last = seen.groupBy("video_id").agg(F.max_by(row, "_at").alias("_row"))
-        return last.select("video_id", "_row.*", F.lit(True).alias("renamed"))
+        return stage(last.select("video_id", "_row.*", F.lit(True).alias("renamed")), "settled")
     per_id = seen.groupBy("video_id").agg(
-        F.min("title").alias("_low"),
-        F.max("title").alias("_high"),
-        F.max_by("title", "_at").alias("_final"),
-        F.min_by(row, "_at").alias("_row"),
+        F.min_by(row, "_at").alias("_row"), F.max_by("title", "_at").alias("_final"), F.min("title").alias("_low"), F.max("title").alias("_high")
     )
-    plain = per_id.where(F.col("_low") == F.col("_high")).select("video_id", "_row", F.lit(False).alias("renamed"))
-    mixed = seen.join(per_id.where(F.col("_low") != F.col("_high")).select("video_id", "_final"), "video_id")
+    # Partitioned by the flag, the few mixed ids have a known size when the join with them is planned.
+    per_id = stage(
+        per_id.select("video_id", "_row.*", "_final", (F.col("_low") != F.col("_high")).alias("renamed")),
+        "settled", partition_by="renamed",
+    )
+    mixed = seen.join(per_id.where(F.col("renamed")).select("video_id", "_final"), "video_id")
     other = mixed.where(F.col("title") != F.col("_final")).groupBy("video_id").agg(F.max("_at").alias("_other"))
     run = mixed.join(other, "video_id").where(F.col("_at") > F.col("_other"))
-    moved = run.groupBy("video_id").agg(F.min_by(row, "_at").alias("_row")).withColumn("renamed", F.lit(True))
-    return plain.unionByName(moved).select("video_id", "_row.*", "renamed")
+    moved = run.groupBy("video_id").agg(F.min_by(row, "_at").alias("_row"))
+    return per_id.where(~F.col("renamed")).drop("_final").unionByName(
+        moved.select("video_id", "_row.*", F.lit(True).alias("renamed"))
+    )
 
 
 def upsert_catalogue(yt_videos: DataFrame, items: DataFrame, *, order: Sequence[str] = ("page_no", "item_pos"),

@@ -20,13 +20,12 @@ def relink_videos(yt_videos: DataFrame, recordings: DataFrame, *, tournament: in
         recordings = recordings.where(F.col("tournament") == tournament)
     pk = F.col("pk")
     rank = F.struct((-F.unix_micros(F.col("publication_date").cast("timestamp"))).alias("age"), pk) if latest else pk
-    texts = recordings.select(
-        rank.alias("rank"), F.explode(F.array(F.lower("name"), F.lower("video_name"))).alias("text")
-    )
+    ranked = recordings.select(rank.alias("rank"), F.array(F.lower("name"), F.lower("video_name")).alias("texts"))
+    texts = ranked.select("rank", F.explode("texts").alias("text"))
     titles = yt_videos.select("pk", F.lower("title").alias("pattern"))
     patterns = titles.select("pattern").where(F.length("pattern") > 0).distinct()
     found = first_text_with(texts, patterns)
-    anything = recordings.agg(F.min(rank).alias("rank"))
+    anything = ranked.agg(F.min("rank").alias("rank"))
     linked = titles.join(found, "pattern", "left").withColumn("_any", anything.scalar())
     best = F.when(F.col("pattern") == "", F.col("_any")).otherwise(F.col("rank"))
     return linked.select("pk", (best.getField("pk") if latest else best).alias("linked_video"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelbook.session import stage
+
 
 def _shift(slices: DataFrame, group: list[str]) -> DataFrame:
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,10 +37,11 @@ def surrogate_keys(df: DataFrame, natural_key: list[str], start: Column, *, digi
     """Consecutive keys after ``start``, in the order of the natural key's MD5.
 
     The leading hex digits cut the table into ``16**digits`` even slices, whatever the keys look
-    like; only the slice counts meet in one task.
+    like; only the slice counts meet in one task. The rows are staged, as they are read twice.
     """
     text = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in natural_key])
-    cut = df.withColumn("_md5", F.md5(text)).withColumn("_slice", F.substring("_md5", 1, digits))
+    keyed = stage(df.withColumn("_md5", F.md5(text)), "numbered")
+    cut = keyed.withColumn("_slice", F.substring("_md5", 1, digits))
     inside = Window.partitionBy("_slice").orderBy("_md5", *natural_key)
     return (
         cut.withColumn("_rank", F.row_number().over(inside))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the plans rely on: measured (run-time) broadcast decisions and skew splitting.
 RUNTIME_CONF = {
@@ -42,3 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder nobody has used yet, below the shared folder."""
     return f"{shared_folder(spark)}/reelbook/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str, *, partition_by: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder now and return it as read back.
+
+    For results that several later branches need: they are computed once, survive the loss of
+    executors, and Spark knows their size when it chooses joins. The folder is the caller's to keep or drop.
+    """
+    folder = new_folder(df.sparkSession, label)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(df.columns)

@@ -137,16 +137,11 @@ def crop_window(t: Tables):
 
 
 @query("normalise_crop", """
-    with a as (select pk, miniature_x_offset * 2 - cast(0.5 as double) as x, miniature_y_offset as y,
-                      least(greatest(miniature_zoom * 2, cast(1.0 as double)), cast(5.0 as double)) as z from {video_metadata}),
-    b as (select *, cast(1320.0 as double) / z as bx, cast(1080.0 as double) / z as byy from a),
-    c as (select *, cast(1920.0 as double) - bx as tx, cast(1080.0 as double) - byy as ty from b),
-    d as (select *, x * tx as l, y * ty as t from c),
-    e as (select *, least(greatest(l, cast(0.0 as double)), greatest(cast(0.0 as double), 1920 - bx)) as li,
-                 least(greatest(t, cast(0.0 as double)), greatest(cast(0.0 as double), 1080 - byy)) as ti from d)
-    select pk, case when l = li and t = ti then x when tx = 0 then 0 else least(greatest(li / tx, cast(0.0 as double)), cast(1.0 as double)) end as x_offset,
-           case when l = li and t = ti then y when ty = 0 then 0 else least(greatest(ti / ty, cast(0.0 as double)), cast(1.0 as double)) end as y_offset, z as zoom
-    from e""")
+    select pk, least(greatest(x, cast(0.0 as double)), cast(1.0 as double)) as x_offset,
+           case when x between 0 and 1 and y between 0 and 1 then y when z = 1 then 0
+                else least(greatest(y, cast(0.0 as double)), cast(1.0 as double)) end as y_offset, z as zoom
+    from (select pk, miniature_x_offset * 2 - cast(0.5 as double) as x, miniature_y_offset as y,
+                 least(greatest(miniature_zoom * 2, cast(1.0 as double)), cast(5.0 as double)) as z from {video_metadata})""")
 def normalise_crop(t: Tables):
     """Rectangles moved and zoomed beyond the frame, pulled back."""
     moved = crop.normalise_crop(
