@@ -149,7 +149,8 @@ def part_file_name(part: Column | str, key: Column | str) -> Column:
 
 def draw_time_code(*natural_key: Column | str) -> Column:
     """Pseudo-random fraction in [0, 1) fixed by the natural key, so a retry draws the same."""
-    return F.pmod(F.xxhash64(*map(_c, natural_key)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    text = F.concat_ws("\u0001", *[_c(k).cast("string") for k in natural_key])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
 
 
 def ci_contains(text: Column | str, pattern: Column | str) -> Column:

@@ -22,8 +22,8 @@ def number_chapters(chapters: DataFrame, *, group: str = "video", start: str = "
 def chapter_probes(chapters: DataFrame, *, group: str = "video") -> DataFrame:
     """Chapters of a table back in probe form, an array in time order per recording.
 
-    An array becomes one description text, so its length is bounded by what a description may hold;
-    copies of a chapter are dropped before they are shuffled.
+    An array becomes one description text, so its length is bounded by what a description may hold
+    (see :func:`description_lines` for more); copies of a chapter are dropped before they are shuffled.
     """
     entry = F.struct(F.col("start_time").cast("double").alias("_at"), "start_time", "end_time")
     ordered = F.sort_array(F.collect_set(entry))
@@ -51,6 +51,22 @@ def description_text(chapters: Column, *, team1: str = "team1_name", team2: str
     return F.array_join(lines, "\n")
 
 
+def description_lines(details: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Descriptions line by line: pk, line_no from 1, line.
+
+    ``chapters`` is the table (video, start_time, ...). No recording is gathered in one place, so one
+    with any number of chapters can be described; joined by newlines the lines give the text form.
+    """
+    header = _header("team1_name", "team2_name")
+    top = details.select("pk", F.posexplode(F.array(*header)).alias("_pos", "line")).select(
+        "pk", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line"
+    )
+    points = number_chapters(chapters).join(details.select(F.col("pk").alias("video")), "video")
+    return top.unionByName(points.select(
+        F.col("video").alias("pk"), (F.col("position") + len(header)).alias("line_no"), X.chapter_line("start_time", "position").alias("line")
+    ))
+
+
 def metadata_public_view(details: DataFrame) -> DataFrame:
     """Public metadata of recordings with both teams: pk, vid_name (null without tournament), description, pub_date."""
     return details.where(F.col("team1_name").isNotNull() & F.col("team2_name").isNotNull()).select(

@@ -20,13 +20,16 @@ def lookup(facts: DataFrame, dim: DataFrame, fk: str, columns: Mapping[str, str]
 
 
 def existing(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs in ``others``."""
-    return rows.join(others.select(keys), keys, "left_semi").select(rows.columns)
+    """Rows whose key occurs in ``others``.
+
+    Keys are made distinct first: copies fall away before the shuffle, which the join needs anyway.
+    """
+    return rows.join(others.select(keys).distinct(), keys, "left_semi").select(rows.columns)
 
 
 def missing(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key does not occur in ``others``."""
-    return rows.join(others.select(keys), keys, "left_anti").select(rows.columns)
+    return rows.join(others.select(keys).distinct(), keys, "left_anti").select(rows.columns)
 
 
 def recording_details(recordings: DataFrame, tournaments: DataFrame, team_logos: DataFrame,

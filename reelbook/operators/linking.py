@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelbook.functions.text import stem
+from reelbook.operators.joins import existing
 from reelbook.operators.substring import first_text_with
 
 
@@ -57,7 +58,7 @@ def first_match(candidates: DataFrame, key: str, value: str) -> DataFrame:
 
 def title_match_exact(yt_videos: DataFrame, recordings: DataFrame, tournament: int) -> DataFrame:
     """Online videos whose title names some recording exactly."""
-    return yt_videos.join(union_candidates(recordings, tournament), "title", "left_semi").select(yt_videos.columns)
+    return existing(yt_videos, union_candidates(recordings, tournament), ["title"])
 
 
 def link_exact(yt_videos: DataFrame, recordings: DataFrame, tournament: int) -> DataFrame:
@@ -76,8 +77,8 @@ def _claim_keys(recordings: DataFrame) -> DataFrame:
 
 def unlinked_candidates(yt_videos: DataFrame, recordings: DataFrame) -> DataFrame:
     """Unlinked online videos that some recording could claim."""
-    keys = _claim_keys(recordings).select(F.explode(F.array("stem", "video_name")).alias("title")).distinct()
-    return yt_videos.where(F.col("linked_video").isNull()).join(keys, "title", "left_semi").select(yt_videos.columns)
+    keys = _claim_keys(recordings).select(F.explode(F.array("stem", "video_name")).alias("title"))
+    return existing(yt_videos.where(F.col("linked_video").isNull()), keys, ["title"])
 
 
 def link_unlinked(yt_videos: DataFrame, recordings: DataFrame) -> DataFrame:

@@ -30,8 +30,11 @@ def _occurrences(texts: DataFrame, patterns: DataFrame, carry: list[str], salts:
         .agg(F.collect_set("_length").alias("_lengths"))
     )
     spans = anchors.agg(F.collect_set("_span").alias("spans"))
+    # Every text becomes many rows, which adaptive execution cannot foresee when it merges small
+    # partitions; a fixed number of partitions keeps the cutting parallel.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tails = (
-        texts.select(*carry, "text", spans.scalar().alias("_spans"))
+        texts.repartition(parts, "text").select(*carry, "text", spans.scalar().alias("_spans"))
         .select(*carry, "text", F.explode("_spans").alias("_span"))
         .where(F.length("text") >= F.col("_span"))
         .select(*carry, "text", "_span", F.explode(F.expr("sequence(1, length(text) - _span + 1)")).alias("_at"))
@@ -63,11 +66,10 @@ def first_text_with(texts: DataFrame, patterns: DataFrame, *, salts: int = SALTS
 
 
 def patterns_in(texts: DataFrame, patterns: DataFrame, *, salts: int = SALTS) -> DataFrame:
-    """Rows (text, pattern columns...) for every distinct text and every pattern it contains.
+    """Rows (text, pattern columns...) for the patterns each text contains, one per place it occurs.
 
-    A text holds at most as many patterns as it has substrings, whatever the size of ``patterns``.
+    ``texts`` has distinct ``text`` values; rows of a text stay where they are unless Spark shuffles
+    for a join. A text holds at most as many patterns as it has substrings, whatever their number.
     """
-    texts = texts.select("text").where(F.length("text") > 0).distinct()
-    keys = patterns.select("pattern").distinct()
-    places = _occurrences(texts, keys, ["text"], salts).distinct()
-    return places.join(patterns, "pattern")
+    texts = texts.select("text").where(F.length("text") > 0)
+    return _occurrences(texts, patterns, ["text"], salts).join(patterns, "pattern")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelbook.operators.numbering import top_rows
@@ -29,24 +29,33 @@ def _wanted(team_logos: DataFrame) -> DataFrame:
     return top_rows(spelled, ["pattern"], ["size", "pk"], 2).drop("rank")
 
 
+def _best_two(files: DataFrame, team_logos: DataFrame, name: str) -> DataFrame:
+    """Distinct lower-case file names with their first two logos: text, logos (size, pk) in order."""
+    texts = files.select(F.lower(name).alias("text")).where(F.col("text").isNotNull()).distinct()
+    wanted = _wanted(team_logos)
+    found = patterns_in(texts, wanted.where(F.length("pattern") > 0))
+    # A logo found twice, by both spellings or in two places, has one rank.
+    order = Window.partitionBy("text").orderBy("size", "pk")
+    ranked = found.select("text", "size", "pk", F.dense_rank().over(order).alias("_rank")).where(F.col("_rank") <= 2)
+    logo = F.struct("size", "pk")
+    best = ranked.groupBy("text").agg(
+        F.min(F.when(F.col("_rank") == 1, logo)).alias("_first"), F.min(F.when(F.col("_rank") == 2, logo)).alias("_second")
+    )
+    # An empty name or abbreviation is part of every file name; at most two of their logos count.
+    always = wanted.where(F.length("pattern") == 0).agg(F.collect_set(logo).alias("logos"))
+    both = F.concat(F.array_compact(F.array("_first", "_second")), F.col("_always"))
+    return texts.join(best, "text", "left").withColumn("_always", always.scalar()).select(
+        "text", F.slice(F.array_sort(F.array_distinct(both)), 1, 2).alias("logos")
+    )
+
+
 def top2_matches(files: DataFrame, team_logos: DataFrame, *, name: str = "name") -> DataFrame:
     """The first two logos per distinct lower-case file name: text, rank, logo.
 
     Matches are ordered by length of the abbreviation, then pk.
     """
-    texts = files.select(F.lower(name).alias("text")).where(F.col("text").isNotNull()).distinct()
-    wanted = _wanted(team_logos)
-    found = patterns_in(texts, wanted.where(F.length("pattern") > 0)).select("text", "size", "pk")
-    # An empty name or abbreviation is part of every file name.
-    always = wanted.where(F.length("pattern") == 0).agg(F.collect_list(F.struct("size", "pk")).alias("logos"))
-    everywhere = (
-        texts.select("text", always.scalar().alias("_logos"))
-        .select("text", F.inline("_logos"))
-    )
-    # A logo found by both spellings has one rank.
-    order = Window.partitionBy("text").orderBy("size", "pk")
-    ranked = found.unionByName(everywhere).withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= 2)
-    return ranked.groupBy("text", F.col("rank").cast("bigint").alias("rank")).agg(F.min("pk").alias("logo"))
+    rows = _best_two(files, team_logos, name).select("text", F.posexplode("logos").alias("_pos", "_logo"))
+    return rows.select("text", (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_logo.pk").alias("logo"))
 
 
 def identify_teams(files: DataFrame, team_logos: DataFrame, *, name: str = "name") -> DataFrame:
@@ -54,20 +63,15 @@ def identify_teams(files: DataFrame, team_logos: DataFrame, *, name: str = "name
 
     No match: both are the default. One: it comes first. More: the shortest abbreviation comes second.
     """
-    best = top2_matches(files, team_logos, name=name).groupBy("text").agg(
-        F.min(F.when(F.col("rank") == 1, F.col("logo"))).alias("_first"),
-        F.min(F.when(F.col("rank") == 2, F.col("logo"))).alias("_second"),
-    )
+    best = _best_two(files, team_logos, name)
     kept = [c for c in files.columns if c not in ("team1", "team2")]
     matched = files.select(*kept, F.lower(name).alias("text")).join(best, "text", "left")
-    return matched.select(*kept, "_first", "_second", default_team(team_logos).scalar().alias("_default")).select(
-        *kept,
-        defaults_then_matches("_default", "_first", "_second", back=1).alias("team1"),
-        defaults_then_matches("_default", "_first", "_second", back=2).alias("team2"),
+    entries = defaults_then_matches(F.col("_default"), F.coalesce("logos.pk", F.array().cast("array<bigint>")))
+    return matched.select(*kept, "logos", default_team(team_logos).scalar().alias("_default")).select(
+        *kept, F.element_at(entries, -1).alias("team1"), F.element_at(entries, -2).alias("team2")
     )
 
 
-def defaults_then_matches(default: str, first: str, second: str, *, back: int):
-    """The ``back``-th entry from the end of the default (twice) followed by the matches there are."""
-    entries = F.array_compact(F.array(default, default, first, second))
-    return F.element_at(entries, -back)
+def defaults_then_matches(default: Column, matches: Column) -> Column:
+    """The default, twice, followed by the matches there are."""
+    return F.concat(F.array(default, default), matches)

@@ -34,7 +34,7 @@ def test_substrings_equal_brute_force(spark, seed, salts):
     want = sorted((q, min(i for i, s in texts if q in s)) for q in patterns if any(q in s for _, s in texts))
     assert rows(first_text_with(t, p, salts=salts)) == want
     pairs = sorted({(s, q) for _, s in texts for q in patterns if q in s})
-    assert sorted(rows(patterns_in(t, p, salts=salts), "text", "pattern")) == pairs
+    assert sorted(rows(patterns_in(t.select("text").distinct(), p, salts=salts).select("text", "pattern").distinct())) == pairs
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -184,9 +184,8 @@ def test_pushdown_and_pruning(spark):
 def test_edit_documents_per_file(spark, tmp_path):
     (tmp_path / "g.json").write_text('{\n "team1": "A",\n "files": ["x", "y"],\n "verified": true,\n "cuts": [{"a": 1}]\n}')
     got = documents.read_edit_documents(spark, str(tmp_path), per_file=True)
-    assert rows(got, "json_file", "team1", "files", "verified", "cuts", "Warnings") == [("g.json", "A", ["x", "y"], True, ['{"a": 1}'], None)] or rows(
-        got, "cuts"
-    ) == [(['{"a":1}'],)]
+    assert rows(got, "json_file", "team1", "files", "verified", "Warnings") == [("g.json", "A", ["x", "y"], True, None)]
+    assert rows(got.select(F.get_json_object(F.col("cuts")[0], "$.a"))) == [("1",)]
 
 
 BATCHES = [

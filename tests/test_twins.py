@@ -24,7 +24,7 @@ def test_query(spark, duck, name):
 
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"draw_time_code", "listed_folder"}
+    assert set(QUERIES) - set(ORACLES) == {"listed_folder"}
 
 
 def test_entry(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from reelbook.operators.describe import chapter_probes
 from reelbook.schemas import ENTITIES
-from reelbook.session import configure
+from reelbook.session import configure, new_folder
 
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -224,6 +224,14 @@ class Tables:
                 self._made[name] = self.spark.sql(text, **used)
         return self._made[name]
 
+    def store(self) -> Tables:
+        """Write every derived table to the shared folder and use it from there, as a catalogue is kept."""
+        folder = new_folder(self.spark, "tables")
+        for name in DERIVED:
+            self[name].write.parquet(f"{folder}/{name}")
+            self._made[name] = self.spark.read.parquet(f"{folder}/{name}")
+        return self
+
     @property
     def entities(self) -> dict[str, DataFrame]:
         """The eight catalogue tables."""

@@ -60,6 +60,17 @@ def description_text(t: Tables):
     return df.select("pk", describe.description_text(F.col("_chapters")).alias("description"))
 
 
+@query("description_lines", f"""
+    select pk, unnest(range(1, len(lines) + 1)) as line_no, unnest(lines) as line
+    from (select pk, string_split(new_description, chr(10)) as lines from ({described(_OWN_TEAMS, 'pk')}))""")
+def description_lines(t: Tables):
+    """Descriptions in long form, from the chapter table."""
+    details, _ = describe.require_teams_and_tournament(
+        changes.with_details(t["video_metadata"], t["tournaments"], t["team_logos"])
+    )
+    return describe.description_lines(details, t["chapters"])
+
+
 @query("duplicate_keys", """
     select name, tournament, count(*) as n_rows from (
         select name, tournament from {video_metadata} union all select name, tournament from {video_files})

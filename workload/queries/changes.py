@@ -34,7 +34,8 @@ _CREATED = f"""
     created as (
         select {_NEW_KEY} as pk, name, tournament, new_team1 as team1, new_team2 as team2,
                concat(name, ' vs ', new_title) as video_name, new_description as description,
-               TS'2024-01-14 18:00:00' as publication_date
+               TS'2024-01-14 18:00:00' as publication_date,
+               cast(cast(concat('0x', substr(md5(concat(name, chr(1), cast(tournament as string))), 1, 8)) as bigint) as double) / 4294967296 as time_code
         from ({described('named', 'video')}))"""
 
 
@@ -47,7 +48,7 @@ def _synced(t: Tables) -> sync.FolderSync:
 @query("sync_recordings", _CREATED + " select * from created")
 def sync_recordings(t: Tables):
     """Rows a folder sync creates."""
-    return _synced(t).created.select("pk", "name", "tournament", "team1", "team2", "video_name", "description", "publication_date")
+    return _synced(t).created.select("pk", "name", "tournament", "team1", "team2", "video_name", "description", "publication_date", "time_code")
 
 
 @query("sync_recordings_listing", _CREATED + """

@@ -189,7 +189,10 @@ def part_file_name(t: Tables):
     return rows.distinct().select("key", "part", X.part_file_name("part", "key").alias("name"))
 
 
-@query("draw_time_code")
+@query("draw_time_code", """
+    select name, tournament,
+           cast(cast(concat('0x', substr(md5(concat(name, chr(1), cast(tournament as string))), 1, 8)) as bigint) as double) / 4294967296 as time_code
+    from {video_files}""")
 def draw_time_code(t: Tables):
     return t["video_files"].select("name", "tournament", X.draw_time_code("name", "tournament").alias("time_code"))
 

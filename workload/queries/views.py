@@ -109,9 +109,11 @@ _PAYLOAD = """case when pk % 4 = 0 then concat('[{"n":', cast(pk as string), '},
 
 
 @query("collection_items", """
-    select pk, cast(0 as int) as position, concat('{"n":', cast(pk as string), '}') as item from {video_metadata} where pk % 4 in (0, 1)
-    union all select pk, cast(1 as int), concat('{"n":"', name, '"}') from {video_metadata} where pk % 4 = 0
-    union all select pk, cast(0 as int), concat('{"n":', cast(pk as string), ',"m":"', video_name, '"}') from {video_metadata} where pk % 4 = 2""")
+    select pk, cast(unnest(range(len(items))) as int) as position, unnest(items) as item from (
+        select pk, case pk % 4 when 0 then [concat('{"n":', cast(pk as string), '}'), concat('{"n":"', name, '"}')]
+                               when 1 then [concat('{"n":', cast(pk as string), '}')]
+                               when 2 then [concat('{"n":', cast(pk as string), ',"m":"', video_name, '"}')] else [] end as items
+        from {video_metadata})""")
 def collection_items(t: Tables):
     """Items of a payload made from every recording."""
     payloads = t["video_metadata"].select("pk", F.expr(_PAYLOAD).alias("payload"))
