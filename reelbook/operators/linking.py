@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelbook.functions.text import stem
 from reelbook.operators.joins import existing
 from reelbook.operators.substring import first_text_with
+from reelbook.session import stage
 
 
 def relink_videos(yt_videos: DataFrame, recordings: DataFrame, *, tournament: int | None = None,
@@ -25,7 +26,8 @@ def relink_videos(yt_videos: DataFrame, recordings: DataFrame, *, tournament: in
     texts = ranked.select("rank", F.explode("texts").alias("text"))
     titles = yt_videos.select("pk", F.lower("title").alias("pattern"))
     patterns = titles.select("pattern").where(F.length("pattern") > 0).distinct()
-    found = first_text_with(texts, patterns)
+    # One row per linked title, made once; Spark then knows its size.
+    found = stage(first_text_with(texts, patterns), "links")
     anything = ranked.agg(F.min("rank").alias("rank"))
     linked = titles.join(found, "pattern", "left").withColumn("_any", anything.scalar())
     best = F.when(F.col("pattern") == "", F.col("_any")).otherwise(F.col("rank"))

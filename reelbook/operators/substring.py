@@ -5,8 +5,12 @@ anchor, its longest prefix whose length is a power of two. Texts are cut at ever
 anchor and the few characters that may follow it; where the anchor is known, the text emits the
 candidate strings of the lengths wanted there, and these meet the patterns by equality. Work grows
 with the characters of the texts, never with texts times patterns, and no pair that is not a true
-occurrence reaches a result. Patterns are unique per join, so a common anchor or pattern can only
-make the text side heavy; that side is salted.
+occurrence reaches a result.
+
+The cut texts are much larger than Spark can estimate, so no join with them is left to an estimate:
+patterns are staged and measured. Small ones are broadcast, and the cut texts are not shuffled at
+all; others are joined by sorting. Anchors are unique there, so a common one can only make the text
+side heavy, and that side is salted.
 """
 
 from __future__ import annotations
@@ -14,16 +18,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelbook.session import stage_measured
+
 #: Share of a common anchor one salt leaves to a task is 1 / SALTS.
 SALTS = 8
 
 
-def _occurrences(texts: DataFrame, patterns: DataFrame, carry: list[str], salts: int) -> DataFrame:
+def _occurrences(texts: DataFrame, patterns: DataFrame, carry: list[str], small: bool, salts: int) -> DataFrame:
     """Rows (carry..., pattern) for every place where a text may hold a pattern. Reads ``text`` and ``pattern``."""
     length = F.length("pattern")
     anchors = (
         patterns.where(length > 0)
-        .select("pattern", length.alias("_length"), F.expr("shiftleft(1, length(bin(length(pattern))) - 1)").alias("_span"))
+        .select(length.alias("_length"), F.expr("shiftleft(1, length(bin(length(pattern))) - 1)").alias("_span"), "pattern")
         .select(F.expr("substring(pattern, 1, _span)").alias("_anchor"), "_span", "_length")
         # At most _span different lengths share an anchor.
         .groupBy("_anchor", "_span")
@@ -45,8 +51,13 @@ def _occurrences(texts: DataFrame, patterns: DataFrame, carry: list[str], salts:
             F.pmod(F.xxhash64("text", "_at"), F.lit(salts)).cast("int").alias("_salt"),
         )
     )
-    salted = anchors.select("_anchor", "_lengths", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    found = tails.join(salted, ["_anchor", "_salt"])
+    anchors = anchors.select("_anchor", "_lengths")
+    if small:
+        # There is at most one anchor per pattern, and it is no longer than the pattern.
+        found = tails.join(F.broadcast(anchors), "_anchor")
+    else:
+        salted = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = tails.join(salted.hint("merge"), ["_anchor", "_salt"])
     fitting = F.filter("_lengths", lambda n: n <= F.length("_tail"))
     return found.select(*carry, "_tail", F.explode(fitting).alias("_length")).select(
         *carry, F.expr("substring(_tail, 1, _length)").alias("pattern")
@@ -59,17 +70,20 @@ def first_text_with(texts: DataFrame, patterns: DataFrame, *, salts: int = SALTS
     ``texts`` has (text, rank), ``patterns`` distinct non-empty ``pattern`` values. Candidates are
     reduced to one row per string before they are shuffled.
     """
+    patterns, small = stage_measured(patterns.select("pattern"), "patterns")
     # Copies of a text are one text.
     texts = texts.where(F.length("text") > 0).groupBy("text").agg(F.min("rank").alias("rank"))
-    lowest = _occurrences(texts, patterns, ["rank"], salts).groupBy("pattern").agg(F.min("rank").alias("rank"))
-    return lowest.join(patterns.select("pattern"), "pattern", "left_semi")
+    lowest = _occurrences(texts, patterns, ["rank"], small, salts).groupBy("pattern").agg(F.min("rank").alias("rank"))
+    return lowest.join(F.broadcast(patterns) if small else patterns.hint("merge"), "pattern", "left_semi")
 
 
 def patterns_in(texts: DataFrame, patterns: DataFrame, *, salts: int = SALTS) -> DataFrame:
     """Rows (text, pattern columns...) for the patterns each text contains, one per place it occurs.
 
-    ``texts`` has distinct ``text`` values; rows of a text stay where they are unless Spark shuffles
-    for a join. A text holds at most as many patterns as it has substrings, whatever their number.
+    ``texts`` has distinct ``text`` values; with few patterns the rows of a text stay where they are.
+    A text holds at most as many patterns as it has substrings, whatever their number.
     """
+    patterns, small = stage_measured(patterns, "patterns")
     texts = texts.select("text").where(F.length("text") > 0)
-    return _occurrences(texts, patterns, ["text"], salts).join(patterns, "pattern")
+    found = _occurrences(texts, patterns, ["text"], small, salts)
+    return found.join(F.broadcast(patterns) if small else patterns.hint("merge"), "pattern")

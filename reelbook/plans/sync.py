@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ class FolderSync:
 
     recordings: DataFrame
     created: DataFrame
-    yt_videos: DataFrame
+    relink: Callable[[DataFrame], DataFrame]
 
     def listing(self) -> DataFrame:
         """The recordings in name order."""
@@ -28,9 +29,8 @@ class FolderSync:
 
 
 def sync_recordings(files: DataFrame, recordings: DataFrame, tournaments: DataFrame, team_logos: DataFrame,
-                    yt_videos: DataFrame, probes: DataFrame, as_of: Column, *, tournament: int | None = None,
-                    scope: str = "all") -> FolderSync:
-    """Make recordings of new files (name, tournament) and link online videos again.
+                    probes: DataFrame, as_of: Column, *, tournament: int | None = None, scope: str = "all") -> FolderSync:
+    """Make recordings of new files (name, tournament); ``relink`` then gives the online videos linked again.
 
     ``tournament`` syncs one tournament; without it all are synced and all recordings are candidates.
     """
@@ -39,7 +39,9 @@ def sync_recordings(files: DataFrame, recordings: DataFrame, tournaments: DataFr
     fresh = new_recordings(list_video_files(files).select("name", "tournament"), recordings)
     created = create_recordings(fresh, recordings, tournaments, team_logos, probes, as_of)
     table = recordings.unionByName(created)
-    return FolderSync(table, created, relink_apply(yt_videos, table, tournament=tournament, scope=scope))
+    return FolderSync(
+        table, created, lambda yt_videos: relink_apply(yt_videos, table, tournament=tournament, scope=scope)
+    )
 
 
 def sync_catalogue(yt_videos: DataFrame, items: DataFrame, recordings: DataFrame | None = None,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the plans rely on: measured (run-time) broadcast decisions and skew splitting.
 RUNTIME_CONF = {
@@ -13,9 +14,14 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Files are judged by their size in memory when a side is considered for broadcast.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.session.timeZone": "UTC",
 }
 
+#: Largest side that is broadcast on purpose, in measured bytes.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session that may have been made elsewhere."""
@@ -54,3 +60,11 @@ def stage(df: DataFrame, label: str, *, partition_by: str | None = None) -> Data
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder).select(df.columns)
+
+
+def stage_measured(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """Stage a frame and tell whether it is small enough to broadcast, by the bytes its rows hold."""
+    staged = stage(df, label)
+    row = F.octet_length(F.to_json(F.struct("*"))) + 32
+    size = staged.agg(F.coalesce(F.sum(row), F.lit(0)).alias("size")).first()["size"]
+    return staged, size <= BROADCAST_BYTES

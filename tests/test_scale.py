@@ -9,6 +9,7 @@ from reelbook.operators import linking, numbering, teams
 from reelbook.operators.describe import number_chapters
 from reelbook.operators.joins import lookup
 from reelbook.operators.substring import first_text_with, patterns_in
+from reelbook import session
 from reelbook.plans import nested
 from reelbook.session import new_folder
 from reelbook.sources import catalogue, documents, entities, files
@@ -69,13 +70,30 @@ def test_teams_equal_brute_force(spark):
 def test_linking_plans_have_no_nested_loop(spark):
     yt, rec = videos(spark, {"pk": 1, "title": "a"}), recordings(spark, {"pk": 1, "name": "a", "video_name": "b"})
     logos = table(spark, "team_logos", LOGOS)
+    texts = rec.select(F.col("name").alias("text"), F.col("pk").alias("rank"))
     for df in (
         teams.identify_teams(rec.select("name"), logos), linking.relink_videos(yt, rec), linking.link_exact(yt, rec, 1),
         linking.link_unlinked(yt, rec), linking.claim_unlinked(yt, rec), linking.unlinked_candidates(yt, rec),
+        first_text_with(texts, yt.select(F.col("title").alias("pattern"))),
     ):
         assert not any(word in plan(df) for word in NESTED), plan(df)
 
 
+@pytest.mark.parametrize("limit, joins", [(1 << 25, "BroadcastHashJoin"), (-1, "SortMergeJoin")])
+def test_cut_texts_are_never_broadcast(spark, monkeypatch, limit, joins):
+    """Small patterns are the broadcast side by measure; large ones are merged, whatever Spark estimates."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+    texts = spark.createDataFrame([(w, i) for i, w in enumerate(words(9, 300, 40))], "text string, rank long")
+    patterns = spark.createDataFrame([(w,) for w in sorted(set(words(8, 200, 15)) - {""})], "pattern string")
+    got = first_text_with(texts, patterns)
+    text = final_plan(got)
+    assert text.count(joins) == 2 and ("SortMergeJoin" in text) == (limit < 0)
+    if limit > 0:
+        assert "BuildLeft" not in text
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1 << 25)
+    assert rows(got) == rows(first_text_with(texts, patterns))
+
+
 def skewed(spark, n=6000):
     """Rows of which a third belong to group 0 and the others to 200 groups."""
     return spark.range(n).select(F.col("id").alias("pk"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200 + 1).cast("long").alias("parent"))

@@ -41,7 +41,7 @@ _CREATED = f"""
 
 def _synced(t: Tables) -> sync.FolderSync:
     return sync.sync_recordings(
-        t["video_files"], t["video_metadata"], t["tournaments"], t["team_logos"], t["yt_videos"], t.file_probes, t.as_of
+        t["video_files"], t["video_metadata"], t["tournaments"], t["team_logos"], t.file_probes, t.as_of
     )
 
 
@@ -64,7 +64,7 @@ def sync_recordings_listing(t: Tables):
       on contains(lower(v.name), lower(y.title)) or contains(lower(v.video_name), lower(y.title)) group by y.pk""")
 def sync_recordings_links(t: Tables):
     """Online videos linked again after a folder sync."""
-    return _synced(t).yt_videos.select("pk", "linked_video")
+    return _synced(t).relink(t["yt_videos"]).select("pk", "linked_video")
 
 
 # --- online catalogue -------------------------------------------------------------------------
