@@ -25,9 +25,13 @@ def number_within(df: DataFrame, group: list[str], order: str, width: float, *,
     """Number the rows of each group from 1 by a numeric column; a slice spans ``width`` of its values."""
     cut = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
     inside = Window.partitionBy(*group, "_slice").orderBy(order, *ties)
+    keys = [*group, "_slice"]
+    shift = _shift(cut, group).select(*[F.col(c).alias(f"_shift_{c}") for c in keys], "_before")
+    # Null keys and values are numbered too.
+    same = [F.col(c).eqNullSafe(F.col(f"_shift_{c}")) for c in keys]
     return (
         cut.withColumn("_rank", F.row_number().over(inside))
-        .join(_shift(cut, group), [*group, "_slice"])
+        .join(shift, same)
         .select(*df.columns, (F.col("_before") + F.col("_rank")).cast("bigint").alias(alias))
     )
 

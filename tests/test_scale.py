@@ -108,6 +108,18 @@ def test_numbering_of_a_hot_group(spark):
     assert sizes <= 100
 
 
+def test_numbering_keeps_null_groups_and_values(spark):
+    df = spark.createDataFrame([(None, 5.0, "a"), (None, None, "b"), (1, None, "c"), (1, 700.0, "d"), (1, 3.0, "e")], "g long, v double, k string")
+    got = numbering.number_within(df, ["g"], "v", 600.0)
+    assert rows(got, "k", "position") == [("a", 2), ("b", 1), ("c", 1), ("d", 3), ("e", 2)]
+
+
+def test_substrings_count_characters(spark):
+    texts = spark.createDataFrame([("été 🏆 finale", 1), ("日本対決", 2)], "text string, rank long")
+    patterns = spark.createDataFrame([("🏆 fin",), ("té",), ("本対決",), ("日",), ("🏆x",)], "pattern string")
+    assert sorted(tuple(r) for r in first_text_with(texts, patterns).collect()) == sorted([("🏆 fin", 1), ("té", 1), ("本対決", 2), ("日", 2)])
+
+
 def test_pages_of_a_hot_parent_are_bounded_and_whole(spark):
     tables = small_entities(
         spark, team_logos=[{"pk": 1, "name": "hot", "short_name": "h"}, {"pk": 2, "name": "none", "short_name": "n"}],
