@@ -176,14 +176,33 @@ def create_recordings(files: DataFrame, recordings: DataFrame, tournaments: Data
     return surrogate_keys(rows, ["tournament", "name"], next_key(recordings)).select(recordings.columns)
 
 
-def apply_patch(table: DataFrame, patches: DataFrame, columns: Sequence[str], *, method: str = "PATCH") -> DataFrame:
+def fold_patches(patches: DataFrame, columns: Sequence[str], order: str, *, method: str = "PATCH") -> DataFrame:
+    """Several updates of a row as one: each column's last given value, or the last update whole for PUT."""
+    if method == "PUT":
+        last = patches.groupBy("pk").agg(F.max_by(F.struct(*columns), order).alias("_last"))
+        return last.select("pk", "_last.*")
+    parts = []
+    for c in columns:
+        flag = F.coalesce(f"{c}_set", F.lit(False)) if f"{c}_set" in patches.columns else F.lit(False)
+        given = F.when(F.col(c).isNotNull() | flag, F.col(order))
+        parts.append(F.max_by(c, given).alias(c))
+        if f"{c}_set" in patches.columns:
+            parts.append(F.max_by(flag, given).alias(f"{c}_set"))
+    return patches.groupBy("pk").agg(*parts)
+
+
+def apply_patch(table: DataFrame, patches: DataFrame, columns: Sequence[str], *, method: str = "PATCH",
+                order: str | None = None) -> DataFrame:
     """The table after partial (PATCH) or full (PUT) updates keyed by pk.
 
     PATCH keeps a column whose patch value is null, unless the patch has a true ``<column>_set``,
-    which makes null the value. PUT takes every listed column.
+    which makes null the value. PUT takes every listed column. Without ``order``, the column that
+    tells which of several updates of a row is later, ``patches`` has one row per pk.
     """
     if method not in ("PATCH", "PUT"):
         raise ValueError("method is 'PATCH' or 'PUT'")
+    if order is not None:
+        patches = fold_patches(patches, columns, order, method=method)
     flags = [f"{c}_set" for c in columns if f"{c}_set" in patches.columns]
     side = patches.select(
         "pk", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns], *[F.col(f).alias(f"_{f}") for f in flags]

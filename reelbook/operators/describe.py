@@ -36,10 +36,10 @@ def _header(team1: str, team2: str) -> list[Column]:
     return [
         F.concat(F.col(team1), F.lit(" vs "), F.col(team2)),
         F.lit(C.REFEREE_LINE),
-        F.col("tournament_date").cast("string"),
+        F.coalesce(F.col("tournament_date").cast("string"), F.lit("")),
         F.lit(""),
-        F.col("tournament_tugeny_link"),
-        F.col("tournament_JTR"),
+        F.coalesce("tournament_tugeny_link", F.lit("")),
+        F.coalesce("tournament_JTR", F.lit("")),
         F.lit(""),
     ]
 

@@ -7,7 +7,7 @@ adaptive execution splits a key that holds too many rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +32,18 @@ def missing(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(others.select(keys).distinct(), keys, "left_anti").select(rows.columns)
 
 
-def recording_details(recordings: DataFrame, tournaments: DataFrame, team_logos: DataFrame,
-                      tmp_images: DataFrame) -> DataFrame:
-    """Recordings with the fields of their tournament, team logos and images that views need."""
+def recording_details(recordings: DataFrame, tournaments: DataFrame, team_logos: DataFrame, tmp_images: DataFrame, *,
+                      team_columns: Sequence[str] = (), tournament_columns: Sequence[str] = ()) -> DataFrame:
+    """Recordings with the fields of their tournament, team logos and images that views need.
+
+    Further columns of a team or tournament come under its prefix (``team1_``, ``tournament_``).
+    """
     df = lookup(recordings, tournaments, "tournament", {
         "tournament_name": "name", "tournament_slug": "slug", "tournament_color": "color", "tournament_date": "date",
         "tournament_dir": "source_dir", "tournament_tugeny_link": "tugeny_link", "tournament_JTR": "JTR",
-    })
-    df = lookup(df, team_logos, "team1", {"team1_name": "name", "team1_image": "image"})
-    df = lookup(df, team_logos, "team2", {"team2_name": "name", "team2_image": "image"})
+    } | {f"tournament_{c}": c for c in tournament_columns})
+    for team in ("team1", "team2"):
+        df = lookup(df, team_logos, team, {f"{team}_{c}": c for c in ("name", "image", *team_columns)})
     df = lookup(df, tmp_images, "base_image", {"base_image_name": "name", "base_image_path": "image"})
     return lookup(df, tmp_images, "miniature_image", {"miniature_name": "name", "miniature_path": "image"})
 

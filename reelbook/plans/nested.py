@@ -105,13 +105,13 @@ def embed_related(tables: dict[str, DataFrame], entity: str, base: str, *, one:
         pages = paged(children, "_parent", "pk", page_size).groupBy("_parent", "page").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("pk", "_child"))), lambda c: c["_child"]).alias("_children")
         )
-        # Pages look their parent up, so the many pages of one parent are the side that can be split.
-        full = pages.join(df, F.col("pk") == F.col("_parent")).drop("_parent")
         parents = children.select(F.col("_parent").alias("pk")).distinct()
-        empty = df.join(parents, "pk", "left_anti").select(
-            "*", page.alias("page"), F.array().cast(pages.schema["_children"].dataType).alias("_children")
+        childless = tables[entity].select("pk").join(parents, "pk", "left_anti").select(
+            F.col("pk").alias("_parent"), page.alias("page"),
+            F.array().cast(pages.schema["_children"].dataType).alias("_children"),
         )
-        df = full.unionByName(empty)
+        # Pages look their parent up, so the many pages of one parent are the side that can be split.
+        df = pages.unionByName(childless).join(df, F.col("pk") == F.col("_parent")).drop("_parent")
         page = F.col("page")
         embedded.append(F.col("_children").alias(name))
     return df.select("pk", page.alias("page"), F.col("_resource").alias("resource"), *embedded)

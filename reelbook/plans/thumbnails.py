@@ -19,8 +19,12 @@ def plan_thumbnails(tables: dict[str, DataFrame], media: DataFrame, logo_sizes:
     ``media`` has (pk, duration, width, height) per recording, ``logo_sizes`` (pk, width, height) per
     logo, ``title_sizes`` (pk, width) per tournament. Crop values out of range make no plan.
     """
+    # Sizes join the logos and tournaments they belong to, not every recording.
+    logos = lookup(tables["team_logos"], logo_sizes, "pk", {"width": "width", "height": "height"})
+    tournaments = lookup(tables["tournaments"], title_sizes, "pk", {"title_width": "width"})
     details = recording_details(
-        tables["video_metadata"], tables["tournaments"], tables["team_logos"], tables["tmp_images"]
+        tables["video_metadata"], tournaments, logos, tables["tmp_images"],
+        team_columns=["width", "height"], tournament_columns=["title_width"],
     )
     ready, _ = require_teams_and_tournament(details)
     valid = (
@@ -39,9 +43,6 @@ def plan_thumbnails(tables: dict[str, DataFrame], media: DataFrame, logo_sizes:
         F.col("decode_frame") | ~F.col("miniature_name").eqNullSafe(F.col("thumbnail_target"))
     )
     df = lookup(stale, media, "pk", {"_duration": "duration", "_width": "width", "_height": "height"})
-    df = lookup(df, logo_sizes, "team1", {"_w1": "width", "_h1": "height"})
-    df = lookup(df, logo_sizes, "team2", {"_w2": "width", "_h2": "height"})
-    df = lookup(df, title_sizes, "tournament", {"_title": "width"})
     return df.select(
         "pk",
         X.path_join(F.col("tournament_dir"), C.RENDERED_DIR, F.col("name")).alias("source"),
@@ -49,11 +50,11 @@ def plan_thumbnails(tables: dict[str, DataFrame], media: DataFrame, logo_sizes:
         crop.frame_second("_duration", "time_code").alias("frame_second"),
         crop.aspect_crop("_width", "_height").alias("aspect"),
         crop.crop_window("miniature_x_offset", "miniature_y_offset", "miniature_zoom").alias("window"),
-        crop.logo_box("_w1", "_h1", C.LOGO1_CENTRE).alias("logo1"),
-        crop.logo_box("_w2", "_h2", C.LOGO2_CENTRE).alias("logo2"),
+        crop.logo_box("team1_width", "team1_height", C.LOGO1_CENTRE).alias("logo1"),
+        crop.logo_box("team2_width", "team2_height", C.LOGO2_CENTRE).alias("logo2"),
         F.col("team1_image").alias("logo1_image"),
         F.col("team2_image").alias("logo2_image"),
-        crop.title_pos("_title").alias("title"),
+        crop.title_pos("tournament_title_width").alias("title"),
         F.upper("tournament_name").alias("title_text"),
         F.col("tournament_color").alias("color"),
         "base_target",

@@ -216,6 +216,18 @@ def test_patch_and_put(spark):
     assert rows(changes.apply_patch(yt, patch, ["title"], method="PUT"), "pk", "title", "linked_video") == [(1, None, 3), (2, "b", 4)]
 
 
+def test_several_patches_of_a_row(spark):
+    yt = videos(spark, {"pk": 1, "title": "a", "linked_video": 3, "privacy_status": "p"}, {"pk": 2, "title": "b"})
+    patch = spark.createDataFrame(
+        [(1, 1, "x", 7, None), (1, 2, None, None, True), (1, 3, None, None, None), (2, 1, "y", 5, None), (2, 2, "z", None, None)],
+        "pk long, at int, title string, linked_video long, linked_video_set boolean",
+    )
+    got = changes.apply_patch(yt, patch, ["title", "linked_video"], order="at")
+    assert rows(got, "pk", "title", "linked_video", "privacy_status") == [(1, "x", None, "p"), (2, "z", 5, "private")]
+    put = changes.apply_patch(yt, patch, ["title", "linked_video"], order="at", method="PUT")
+    assert rows(put, "pk", "title", "linked_video") == [(1, None, None), (2, "z", None)]
+
+
 def entities(spark, **given):
     from reelbook.schemas import ENTITIES
 

@@ -254,6 +254,16 @@ def test_stream_equals_upsert_batch_by_batch(spark):
     assert rows(got, "video_id", "title", "privacy_status") == [("a", "A", "unlisted"), ("m", "M", "public"), ("n", "N", "private")]
 
 
+def test_replayed_batch_changes_nothing(spark):
+    landed, log = new_folder(spark, "pages"), new_folder(spark, "log")
+    _page(items(spark, *BATCHES[0])).write.json(landed)
+    seen = []
+    for _ in range(2):  # the second run has lost its progress and replays the batch
+        upsert.stream_catalogue_upsert(upsert.read_page_stream(spark, landed), log, new_folder(spark, "state")).awaitTermination()
+        seen.append(rows(upsert.read_log(spark, log)))
+    assert seen[0] == seen[1] and len(seen[0]) == 2
+
+
 def test_upsert_does_not_depend_on_partitions(spark):
     from reelbook.operators.changes import upsert_catalogue
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelbook.functions import text as X
-from reelbook.operators import describe, joins, linking, listings, quality, teams
+from reelbook.operators import changes, describe, joins, linking, listings, quality, teams
 from reelbook.sources import files
 from workload.fixtures import AS_OF, TOURNAMENT, Tables
 from workload.registry import query, register
@@ -53,7 +53,7 @@ register(
     from {video_metadata} v join {team_logos} a on a.pk = v.team1 join {team_logos} b on b.pk = v.team2
     left join {tournaments} t on t.pk = v.tournament""")
 def metadata_public_view(t: Tables):
-    details = joins.recording_details(t["video_metadata"], t["tournaments"], t["team_logos"], t["tmp_images"])
+    details = changes.with_details(t["video_metadata"], t["tournaments"], t["team_logos"])
     return describe.metadata_public_view(details)
 
 
@@ -131,7 +131,7 @@ def validate_entities(t: Tables):
 @query("require_teams_and_tournament", """
     select v.pk, v.tournament is not null and v.team1 is not null and v.team2 is not null as complete from {video_metadata} v""")
 def require_teams_and_tournament(t: Tables):
-    details = joins.recording_details(t["video_metadata"], t["tournaments"], t["team_logos"], t["tmp_images"])
+    details = changes.with_details(t["video_metadata"], t["tournaments"], t["team_logos"])
     ok, rejected = describe.require_teams_and_tournament(details)
     return ok.select("pk", F.lit(True).alias("complete")).unionByName(rejected.select("pk", F.lit(False).alias("complete")))
 
