@@ -142,6 +142,21 @@ def path_join(*parts: Column | str) -> Column:
     return F.concat_ws("/", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def rendered_path(source_dir: Column | str, name: Column | str | None = None) -> Column:
+    """Folder of finished recordings, or a file in it."""
+    return path_join(_c(source_dir), C.RENDERED_DIR, *([] if name is None else [_c(name)]))
+
+
+def timelines_path(source_dir: Column | str) -> Column:
+    """Folder of timelines."""
+    return path_join(_c(source_dir), C.TIMELINES_DIR)
+
+
+def rushs_path(source_dir: Column | str) -> Column:
+    """Folder of camera files."""
+    return path_join(_c(source_dir), C.RUSHS_DIR)
+
+
 def part_file_name(part: Column | str, key: Column | str) -> Column:
     """Camera file name of one part of a recording."""
     return F.format_string(C.PART_FORMAT, _c(part).cast("int"), _c(key).cast("int"))

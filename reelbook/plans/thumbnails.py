@@ -45,7 +45,7 @@ def plan_thumbnails(tables: dict[str, DataFrame], media: DataFrame, logo_sizes:
     df = lookup(stale, media, "pk", {"_duration": "duration", "_width": "width", "_height": "height"})
     return df.select(
         "pk",
-        X.path_join(F.col("tournament_dir"), C.RENDERED_DIR, F.col("name")).alias("source"),
+        X.rendered_path("tournament_dir", "name").alias("source"),
         "decode_frame",
         crop.frame_second("_duration", "time_code").alias("frame_second"),
         crop.aspect_crop("_width", "_height").alias("aspect"),

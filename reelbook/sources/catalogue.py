@@ -33,9 +33,10 @@ def catalogue_items(pages: DataFrame, *, from_date: Column | None = None) -> Dat
     return rows if from_date is None else catalogue_since(rows, from_date)
 
 
-def catalogue_since(items: DataFrame, from_date: Column) -> DataFrame:
-    """Items dated ``from_date`` or later."""
-    return items.where(F.col("date") >= from_date)
+def catalogue_since(items: DataFrame, from_date: Column | None = None) -> DataFrame:
+    """Items dated ``from_date`` or later; by default from the first season on."""
+    start = F.lit(C.CATALOGUE_START).cast("timestamp_ntz") if from_date is None else from_date
+    return items.where(F.col("date") >= start)
 
 
 def ingest_catalogue_pages(spark: SparkSession, folder: str, *, from_date: Column | None = None) -> DataFrame:

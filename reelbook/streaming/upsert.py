@@ -9,7 +9,6 @@ not once per batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelbook.operators.changes import upsert_catalogue

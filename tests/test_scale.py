@@ -181,12 +181,12 @@ def test_copies_of_one_title_and_one_item(spark):
 
 
 def test_listing_leaves_contents_alone(spark, tmp_path):
-    for name in ("a.mp4", "b.txt", "c.MOV"):
+    for name in ("a.mp4", "b.txt", "c.MOV", "é d%20.mkv"):
         (tmp_path / name).write_text("x")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "d.mp4").write_text("x")
     df = files.list_video_files(files.listing(spark, str(tmp_path)))
-    assert [r[0] for r in rows(df, "name")] == ["a.mp4", "c.MOV"]
+    assert [r[0] for r in rows(df, "name")] == ["a.mp4", "c.MOV", "é d%20.mkv"]
     scan = next(line for line in plan(df).splitlines() if "FileScan" in line)
     assert "content" not in scan.split("ReadSchema")[1]
 

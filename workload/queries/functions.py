@@ -175,8 +175,8 @@ def title_pos(t: Tables):
 def path_join(t: Tables):
     df = lookup(t["video_metadata"], t["tournaments"], "tournament", {"_dir": "source_dir"}).dropna(subset=["_dir"])
     return df.select(
-        "pk", X.path_join(F.col("_dir"), "rendered", F.col("name")).alias("path"),
-        X.path_join(F.col("_dir"), "timelines").alias("timelines"), X.path_join(F.col("_dir"), "rushs").alias("rushs"),
+        "pk", X.rendered_path("_dir", "name").alias("path"), X.timelines_path("_dir").alias("timelines"),
+        X.rushs_path("_dir").alias("rushs"),
     )
 
 
