@@ -37,10 +37,11 @@ def _occurrences(texts: DataFrame, patterns: DataFrame, carry: list[str], small:
     )
     spans = anchors.agg(F.collect_set("_span").alias("spans"))
     # Every text becomes many rows, which adaptive execution cannot foresee when it merges small
-    # partitions; a fixed number of partitions keeps the cutting parallel.
+    # partitions; a fixed number of partitions keeps the cutting parallel. (By a hash of the text, as
+    # a repartitioning by the text itself would be dropped as done already.)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tails = (
-        texts.repartition(parts, "text").select(*carry, "text", spans.scalar().alias("_spans"))
+        texts.repartition(parts, F.xxhash64("text")).select(*carry, "text", spans.scalar().alias("_spans"))
         .select(*carry, "text", F.explode("_spans").alias("_span"))
         .where(F.length("text") >= F.col("_span"))
         .select(*carry, "text", "_span", F.explode(F.expr("sequence(1, length(text) - _span + 1)")).alias("_at"))
@@ -80,8 +81,8 @@ def first_text_with(texts: DataFrame, patterns: DataFrame, *, salts: int = SALTS
 def patterns_in(texts: DataFrame, patterns: DataFrame, *, salts: int = SALTS) -> DataFrame:
     """Rows (text, pattern columns...) for the patterns each text contains, one per place it occurs.
 
-    ``texts`` has distinct ``text`` values; with few patterns the rows of a text stay where they are.
-    A text holds at most as many patterns as it has substrings, whatever their number.
+    ``texts`` has distinct ``text`` values. A text holds at most as many patterns as it has
+    substrings, whatever their number.
     """
     patterns, small = stage_measured(patterns, "patterns")
     texts = texts.select("text").where(F.length("text") > 0)
