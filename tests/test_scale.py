@@ -296,3 +296,17 @@ def test_collection_items(spark):
     payloads = [(1, '[{"a":1},{"b":2}]'), (2, '{"_embedded":{"x":1,"y":[{"c":3}],"z":[4]}}'), (3, '{"_embedded":{"y":{"d":5}}}'), (4, '{"n":0}'), (5, "[]"), (6, '{"_embedded":{"y":[],"z":[1]}}')]
     got = nested.collection_items(spark.createDataFrame(payloads, "pk long, payload string"), "pk")
     assert rows(got) == [(1, 0, '{"a":1}'), (1, 1, '{"b":2}'), (2, 0, '{"c":3}'), (3, 0, '{"d":5}')]
+
+
+class _Session:
+    """Session stand-in without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+
+def test_only_a_local_session_makes_its_own_folder():
+    assert session.shared_folder(_Session("local[2]")) == session.shared_folder(_Session("local[4]"))
+    with pytest.raises(ValueError):
+        session.shared_folder(_Session("spark://host:7077"))
