@@ -19,7 +19,7 @@ from reelbook.session import configure, new_folder, stage
 #: Rows per Arrow batch: whole texts travel in them, so a batch stays at a few MB.
 ARROW_ROWS = 500
 #: Rows of a slice whose running total one task makes.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4_000
 
 _SHIPPED: set[str] = set()
 

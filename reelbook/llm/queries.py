@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbook.llm import bpe, hilbert, huffman, packing
+from reelbook.llm import bpe, hilbert, huffman, jaccard, packing
 from reelbook.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def op3_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents through Huffman-coded files."""
     return huffman.coded_round_trip(read_table(spark, folder, "documents"))
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents by 4-word shingles at a similarity of 0.85."""
+    return jaccard.near_duplicates(read_table(spark, folder, "documents"), words=4, least=(85, 100))
