@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,10 @@ from reelbook.llm.shingles import mix, shingle_set
 from reelbook.session import stage
 
 _U = np.uint64
-#: Bits of a shingle's hash that name its frequency counter.
-SKETCH_BITS = 16
-#: A shingle is frequent if its counter is this many times the mean counter, and this much above it.
-FREQUENT_TIMES, FREQUENT_ABOVE = 2, 64
+#: Bits of a shingle's hash that name its frequency counter; counters of a block, which are summed together.
+SKETCH_BITS, BLOCK = 20, 1 << 12
+#: A shingle is frequent if its counter lies above the mean counter by this many of its standard deviations and this much.
+FREQUENT_DEVIATIONS, FREQUENT_ABOVE = 4, 8
 #: Frequent shingles of a set per class of pairs, about.
 CLASS_SIZE = 50
 #: All pairs left between components are compared once they are at most this many times the rows they come from.
@@ -71,30 +72,76 @@ def _prefix_signatures(shingles: np.ndarray, frequent: np.ndarray, least: tuple[
     return np.unique(np.concatenate(found))
 
 
+def _summed(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Blocks of counters added up by keys (the first is ``block``)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        counts = [np.frombuffer(v.as_buffer(), "<u4" if len(v.as_buffer()) == 4 * BLOCK else "<i8") for v in table.column("counts")]
+        total = np.sum(counts, axis=0, dtype="<i8")
+        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return blocks.groupBy(*keys).applyInArrow(add, "block int, part int, counts binary")
+
+
 def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Which counters of the frequency sketch are frequent, over the shingles of all rows. The sketch has a fixed size."""
-    out = pa.schema([("counter", pa.int64()), ("n", pa.int64())])
+    """Which counters of the frequency sketch are frequent, over the shingles of all rows.
+
+    Each task counts into the whole sketch and gives it as blocks; blocks are summed in two steps, so a task meets about the
+    square root of the number of tasks. The sketch has a fixed size, 8 MB, with which it also reaches the driver.
+    """
+    out = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+    groups = max(1, round(texts.rdd.getNumPartitions() ** 0.5))
 
     def count(batches):
-        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+
+        def add():
+            if waiting:
+                seen[:] += np.bincount((np.concatenate(waiting) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
+
         for batch in batches:
             for (text,) in texts_of(batch, "text"):
-                seen += np.bincount((shingle_set(text, words) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
-        found = np.flatnonzero(seen)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], schema=out)
-
-    counts = stage(texts.select("text").mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")), "sketch")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
-    often = counts.where(F.col("n") >= max(FREQUENT_TIMES * mean, mean + FREQUENT_ABOVE)).select("counter").collect()  # 2 ** SKETCH_BITS at most
-    marks = np.zeros(1 << SKETCH_BITS, bool)
-    marks[[r[0] for r in often]] = True
-    return marks
+                waiting.append(shingle_set(text, words))
+                held += len(waiting[-1])
+                if held >= 1 << SKETCH_BITS:
+                    add()
+                    waiting, held = [], 0
+        add()
+        part = TaskContext.get().partitionId() % groups
+        rows = ((i, part, block.astype("<u4").tobytes()) for i, block in enumerate(seen.reshape(-1, BLOCK)) if block.any())
+        yield from batches_of(out, rows, size=32)
+
+    blocks = texts.select("text").mapInArrow(count, "block int, part int, counts binary")
+    counts = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
+    for row in _summed(_summed(blocks, "block", "part"), "block").collect():
+        counts[row["block"]] = np.frombuffer(row["counts"], "<i8")
+    counts = counts.ravel()
+    mean = counts.mean()
+    return counts > mean + FREQUENT_DEVIATIONS * mean**0.5 + FREQUENT_ABOVE
+
+
+def _profile(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of some bins by their hash: a few per bin, so that sets are told apart by it."""
+    bins = 1 << min(11, max(4, len(shingles).bit_length() - 3))
+    counts = np.bincount((shingles & _U(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def _may_share(one: bytes, other: bytes) -> int | None:
+    """The most two sets can have in common by their profiles; None if a profile says nothing."""
+    if not one or not other:
+        return None
+    if len(one) > len(other):
+        one, other = other, one
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    if len(b) > len(a):
+        b = b.reshape(-1, len(a)).sum(axis=0)
+    return int(np.minimum(a, b).sum())
 
 
 def _facts(texts: DataFrame, words: int, least: tuple[int, int], frequent: np.ndarray) -> DataFrame:
-    """key, n (size of the set), print (fingerprint of the set, null if empty), signatures."""
-    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("signatures", pa.list_(pa.int64()))])
+    """key, n (size of the set), print (fingerprint of the set, null if empty), profile, signatures."""
+    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("profile", pa.binary()), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches):
         def rows():
@@ -102,11 +149,31 @@ def _facts(texts: DataFrame, words: int, least: tuple[int, int], frequent: np.nd
                 for key, text in texts_of(batch, "text", "key"):
                     found = shingle_set(text, words)
                     mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                    yield key, len(found), mark, _prefix_signatures(found, frequent, least).view(np.int64)
+                    yield key, len(found), mark, _profile(found), _prefix_signatures(found, frequent, least).view(np.int64)
+
+        yield from batches_of(out, rows(), weight=lambda r: 8 * len(r[4]))
+
+    return texts.mapInArrow(run, "key bigint, n bigint, print binary, profile binary, signatures array<bigint>")
 
-        yield from batches_of(out, rows(), weight=lambda r: 8 * len(r[3]))
 
-    return texts.mapInArrow(run, "key bigint, n bigint, print binary, signatures array<bigint>")
+def _promising(pairs: DataFrame, profiles: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that can be similar enough by their profiles; no similar pair is lost."""
+    num, den = least
+    of = lambda c: profiles.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("profile").alias(f"of_{c}"))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(batches):
+        def rows():
+            for batch in batches:
+                for a, b, n_a, n_b, one, other in zip(*[c.to_pylist() for c in batch.columns]):
+                    most = _may_share(one, other)
+                    if most is None or (num + den) * most >= num * (n_a + n_b):
+                        yield a, b
+
+        yield from batches_of(out, rows())
+
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+    return both.mapInArrow(check, "a bigint, b bigint")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, least: tuple[int, int], label: str) -> DataFrame:
@@ -170,13 +237,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     facts = stage(_facts(texts, words, least, _frequent(texts, words)), "facts")
     sets = facts.where(F.col("n") > 0)
     nodes = stage(sets.where(F.col("key").isNotNull()).groupBy("print").agg(
-        F.min("key").alias("node"), F.min("n").alias("n"), F.min_by("signatures", "key").alias("signatures")
+        F.min("key").alias("node"), F.min("n").alias("n"), F.min_by(F.struct("profile", "signatures"), "key").alias("_of")
     ), "nodes")
-    rows = nodes.select(F.col("node").alias("key"), "n", F.explode("signatures").alias("signature"))
+    rows = nodes.select(F.col("node").alias("key"), "n", F.explode("_of.signatures").alias("signature"))
     both = Window.partitionBy("signature")
     shared = rows.withColumn("_lo", F.min("key").over(both)).withColumn("_hi", F.max("key").over(both))
     shared = stage(shared.where(F.col("_lo") < F.col("_hi")).drop("_lo", "_hi"), "shared")
-    needed = stage(texts.join(shared.select("key").distinct(), "key", "left_semi"), "texts")
+    candidates = shared.select("key").distinct()
+    profiles = stage(nodes.select(F.col("node").alias("key"), "n", "_of.profile").join(candidates, "key", "left_semi"), "profiles")
 
     # A repeated key ties all sets it has.
     members = nodes.select("print", "node")
@@ -197,7 +265,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             found = one.join(other, "signature").where(between).select("a", "b").distinct()
         else:
             found = _hub_pairs(left, turn, least)
-        links = links.unionByName(_verify(found, needed, words, least, "links"))
+        found = stage(_promising(found, profiles, least), "pairs")
+        needed = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        links = links.unionByName(_verify(found, stage(texts.join(needed, "key", "left_semi"), "texts"), words, least, "links"))
         groups = components(links, "near")
         if last:
             break
