@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
@@ -21,6 +20,9 @@ ARROW_ROWS = 500
 #: Rows of a slice whose running total one task makes.
 SLICE_ROWS = 4_000
 
+#: Links a task contracts in memory.
+TASK_LINKS = 1_000_000
+
 _SHIPPED: set[str] = set()
 
 
@@ -153,16 +155,41 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return pairs.where(F.col("a") < F.col("b")).distinct()
 
 
+def _forest(links: DataFrame) -> DataFrame:
+    """Links replaced, in each task, by a star per component that the task's own links form."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def contract(batches):
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = above[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one, other = top(a), top(b)
+                if one != other:
+                    above[max(one, other)] = min(one, other)
+        yield from batches_of(out, ((top(x), x) for x in list(above) if top(x) != x))
+
+    return links.mapInArrow(contract, "a bigint, b bigint")
+
+
 def components(links: DataFrame, label: str) -> DataFrame:
-    """Least node each linked node reaches: ``node``, ``component``. ``links`` has columns a, b (any order).
+    """Least node each linked node reaches: ``node``, ``component``. ``links`` has columns a, b (any order) and is stored.
 
-    Alternates large-star and small-star contractions until the edges are a forest of stars. Each round is written to the
-    shared folder, so a lost executor costs one round; nothing is gathered on the driver but two sums per round.
+    Tasks first contract up to ``TASK_LINKS`` links each to a forest. If that took more than one task, large-star and
+    small-star contractions follow until the edges are stars. Each round is written to the shared folder, so a lost executor
+    costs one round; nothing is gathered on the driver but two sums per round.
     """
-    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") < F.col("b")).distinct()
-    edges = stage(ordered, f"{label}-edges")
+    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") < F.col("b"))
+    tasks = max(1, -(-ordered.count() // TASK_LINKS))
+    edges = stage(_forest(ordered.repartition(tasks)), f"{label}-edges")
     seen = None
-    while True:
+    while tasks > 1:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:
             break
@@ -170,18 +197,3 @@ def components(links: DataFrame, label: str) -> DataFrame:
         edges = stage(_star(_star(edges, True), False), f"{label}-edges")
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-
-
-class Reader(io.RawIOBase):
-    """Raw view of a pyarrow input, for readers of the standard library."""
-
-    def __init__(self, source):
-        self._source = source
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, into) -> int:
-        data = self._source.read(len(into))
-        into[: len(data)] = data
-        return len(data)

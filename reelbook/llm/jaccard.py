@@ -32,8 +32,9 @@ SKETCH_BITS, BLOCK = 20, 1 << 12
 FREQUENT_DEVIATIONS, FREQUENT_ABOVE = 4, 8
 #: Frequent shingles of a set per class of pairs, about.
 CLASS_SIZE = 50
-#: All pairs left between components are compared once they are at most this many times the rows they come from.
-PAIRS_PER_ROW = 8
+#: All pairs left between components are compared once they are at most this many times the rows they come from, or once a
+#: turn of hubs has left more than half of them.
+PAIRS_PER_ROW = 32
 
 
 def _prefix_signatures(shingles: np.ndarray, frequent: np.ndarray, least: tuple[int, int]) -> np.ndarray:
@@ -127,6 +128,17 @@ def _profile(shingles: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
+#: 64-bit words of a parity map.
+PARITY_WORDS = 8
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit per slot, whether an odd number of shingles falls there. Maps differ in at most as many bits as sets in shingles."""
+    slots = 64 * PARITY_WORDS
+    odd = np.bincount(((shingles >> _U(20)) % _U(slots)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _may_share(one: bytes, other: bytes) -> int | None:
     """The most two sets can have in common by their profiles; None if a profile says nothing."""
     if not one or not other:
@@ -140,8 +152,8 @@ def _may_share(one: bytes, other: bytes) -> int | None:
 
 
 def _facts(texts: DataFrame, words: int, least: tuple[int, int], frequent: np.ndarray) -> DataFrame:
-    """key, n (size of the set), print (fingerprint of the set, null if empty), profile, signatures."""
-    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("profile", pa.binary()), ("signatures", pa.list_(pa.int64()))])
+    """key, n (size of the set), print (fingerprint of the set, null if empty), profile, parity, signatures."""
+    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("profile", pa.binary()), ("parity", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches):
         def rows():
@@ -149,11 +161,11 @@ def _facts(texts: DataFrame, words: int, least: tuple[int, int], frequent: np.nd
                 for key, text in texts_of(batch, "text", "key"):
                     found = shingle_set(text, words)
                     mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                    yield key, len(found), mark, _profile(found), _prefix_signatures(found, frequent, least).view(np.int64)
+                    yield key, len(found), mark, _profile(found), _parity(found), _prefix_signatures(found, frequent, least).view(np.int64)
 
-        yield from batches_of(out, rows(), weight=lambda r: 8 * len(r[4]))
+        yield from batches_of(out, rows(), weight=lambda r: 8 * len(r[5]))
 
-    return texts.mapInArrow(run, "key bigint, n bigint, print binary, profile binary, signatures array<bigint>")
+    return texts.mapInArrow(run, "key bigint, n bigint, print binary, profile binary, parity array<bigint>, signatures array<bigint>")
 
 
 def _promising(pairs: DataFrame, profiles: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -206,12 +218,34 @@ def _fitting(least: tuple[int, int]):
     return F.lit(least[1]) * F.least("n_a", "n_b") >= F.lit(least[0]) * F.greatest("n_a", "n_b")
 
 
-def _hub_pairs(rows: DataFrame, turn: int, least: tuple[int, int]) -> DataFrame:
-    """Each set with the hub of each of its signatures; the hubs of a turn go by one order, so they are few."""
-    hub = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("mark"), F.col("key").alias("a"), F.col("n").alias("n_a")))
-    paired = rows.withColumn("_hub", hub.over(Window.partitionBy("signature")))
-    pairs = paired.select("_hub.a", "_hub.n_a", F.col("key").alias("b"), F.col("n").alias("n_b"))
-    return pairs.where((F.col("a") != F.col("b")) & _fitting(least)).select("a", "b").distinct()
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """hub, n_hub, key, n, component: each set under the hub of each of its signatures.
+
+    The hubs of a turn go by one order, so they are few, and many signatures shared by the same sets become one star. Sets
+    that share a signature share a star.
+    """
+    hub = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("mark"), "key", "n")).over(Window.partitionBy("signature"))
+    under = rows.withColumn("_hub", hub)
+    return under.select(F.col("_hub.key").alias("hub"), F.col("_hub.n").alias("n_hub"), "key", "n", "component").distinct()
+
+
+def _hub_pairs(stars: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Each set with its hubs, as far as their sizes fit."""
+    pairs = stars.select(F.col("hub").alias("a"), F.col("n_hub").alias("n_a"), F.col("key").alias("b"), F.col("n").alias("n_b"))
+    return pairs.where((F.col("a") != F.col("b")) & _fitting(least)).select("a", "b")
+
+
+def _pairs_between(stars: DataFrame, profiles: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """All pairs of a star between different components whose parity maps allow them to be similar enough."""
+    num, den = least
+    words = [F.element_at("parity", i + 1) for i in range(PARITY_WORDS)]
+    owned = stars.join(profiles.select("key", *[w.alias(f"p{i}") for i, w in enumerate(words)]), "key")
+    of = lambda c: owned.select("hub", F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in owned.columns if x not in ("hub", "key")])
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_WORDS)), F.lit(0))
+    # Of similar sets at most (den - num) / (den + num) of all their shingles are in one only.
+    near = F.lit(num + den) * differ <= F.lit(den - num) * (F.col("n_a") + F.col("n_b"))
+    between = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fitting(least) & near
+    return of("a").join(of("b"), "hub").where(between).select("a", "b").distinct()
 
 
 def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -237,41 +271,36 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     facts = stage(_facts(texts, words, least, _frequent(texts, words)), "facts")
     sets = facts.where(F.col("n") > 0)
     nodes = stage(sets.where(F.col("key").isNotNull()).groupBy("print").agg(
-        F.min("key").alias("node"), F.min("n").alias("n"), F.min_by(F.struct("profile", "signatures"), "key").alias("_of")
+        F.min("key").alias("node"), F.min("n").alias("n"), F.min_by(F.struct("profile", "parity", "signatures"), "key").alias("_of")
     ), "nodes")
     rows = nodes.select(F.col("node").alias("key"), "n", F.explode("_of.signatures").alias("signature"))
     both = Window.partitionBy("signature")
     shared = rows.withColumn("_lo", F.min("key").over(both)).withColumn("_hi", F.max("key").over(both))
     shared = stage(shared.where(F.col("_lo") < F.col("_hi")).drop("_lo", "_hi"), "shared")
     candidates = shared.select("key").distinct()
-    profiles = stage(nodes.select(F.col("node").alias("key"), "n", "_of.profile").join(candidates, "key", "left_semi"), "profiles")
+    profiles = stage(nodes.select(F.col("node").alias("key"), "n", "_of.profile", "_of.parity").join(candidates, "key", "left_semi"), "profiles")
 
     # A repeated key ties all sets it has.
     members = nodes.select("print", "node")
     several = sets.groupBy("key").agg(F.min("print").alias("_lo"), F.max("print").alias("_hi")).where(F.col("_lo") < F.col("_hi")).select("key")
     links = stage(sets.join(several, "key", "left_semi").join(members, "print").select(F.col("key").alias("a"), F.col("node").alias("b")), "links")
-    groups, left, turn = components(links, "near"), shared, 0
+    groups, left, turn, before = components(links, "near"), shared.withColumn("component", F.col("key")), 0, float("inf")
     while True:
-        pairs = left.agg(F.count("*")).first()[0]
-        if not pairs:
+        stars = stage(_stars(left, turn), "stars")
+        sizes = stars.groupBy("hub", "component").agg(F.count("*").alias("c")).groupBy("hub")
+        per = sizes.agg(F.sum("c").alias("n"), ((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("pairs"))
+        n_rows, n_pairs = per.agg(F.sum("n"), F.sum("pairs")).first()
+        if not n_rows:
             break
-        sizes = left.groupBy("signature", *(["component"] if turn else ["key"])).agg(F.count("*").alias("c")).groupBy("signature")
-        cross = sizes.agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        last = turn > 0 and cross <= PAIRS_PER_ROW * pairs
-        if last:
-            other = left.select("signature", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("_cb"))
-            one = left.select("signature", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("_ca"))
-            between = (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _fitting(least)
-            found = one.join(other, "signature").where(between).select("a", "b").distinct()
-        else:
-            found = _hub_pairs(left, turn, least)
+        last = turn > 0 and (n_pairs <= PAIRS_PER_ROW * n_rows or n_pairs > before / 2)
+        found = _pairs_between(stars, profiles, least) if last else _hub_pairs(stars, least)
         found = stage(_promising(found, profiles, least), "pairs")
         needed = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         links = links.unionByName(_verify(found, stage(texts.join(needed, "key", "left_semi"), "texts"), words, least, "links"))
         groups = components(links, "near")
         if last:
             break
-        left = stage(_apart(left.select("signature", "key", "n"), groups), "apart")
+        left, before = stage(_apart(left.select("signature", "key", "n"), groups), "apart"), n_pairs
         turn += 1
     final = members.join(groups.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         "print", F.coalesce("component", "node").alias("_component")
