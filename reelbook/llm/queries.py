@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbook.llm import bpe, hilbert, huffman, jaccard, packing
+from reelbook.llm import bpe, cosine, hilbert, huffman, impact, jaccard, packing
 from reelbook.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,15 @@ def op8_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents by 4-word shingles at a similarity of 0.85."""
     return jaccard.near_duplicates(read_table(spark, folder, "documents"), words=4, least=(85, 100))
+
+
+@query
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best integer inner products of every fiftieth vector with all others."""
+    return impact.exact_top_k(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of all vectors at cosine 0.95 and their components."""
+    return cosine.near_duplicate_vectors(read_table(spark, folder, "embeddings"))
