@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbook.llm import bpe, cosine, hilbert, huffman, impact, jaccard, packing
+from reelbook.llm import bpe, cosine, hilbert, huffman, impact, importance, jaccard, language, packing, warc
 from reelbook.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,27 @@ def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links of all vectors at cosine 0.95 and their components."""
     return cosine.near_duplicate_vectors(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op5_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages through archives: one gzip stream, a member per record, read by index."""
+    return warc.archive_round_trip(read_table(spark, folder, "pages"))
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents from text, declared language and source."""
+    return language.identify_languages(read_table(spark, folder, "documents"), declared="lang", host="source", markup=True)
+
+
+@query
+def page_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all pages from text, markup, address suffix and host."""
+    return language.identify_languages(read_table(spark, folder, "pages"), key="page_id", text="html", url="url", markup=True)
+
+
+@query
+def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight of all documents against the labelled target, and the sample."""
+    return importance.quality_sample(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
