@@ -94,15 +94,21 @@ def format_pub_date(ts: Column | str) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm")
 
 
+def _with_fraction(ts: Column | str, zone: str) -> Column:
+    """ISO text of a timestamp; six digits of a second follow only where it has a fraction."""
+    whole, fraction = F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(_c(ts), ".SSSSSS")
+    return F.concat(whole, F.when(fraction == ".000000", "").otherwise(fraction), F.lit(zone))
+
+
 def iso_utc(ts: Column | str) -> Column:
     """Timestamp as ISO text in UTC."""
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _with_fraction(ts, "Z")
 
 
 def publish_schedule(status: Column | str, date: Column | str, as_of: Column) -> Column:
     """Status part of a publish body; null unless a hidden video is due in the future."""
     due = _c(status).isin(C.PRIVATE, C.UNLISTED) & (_c(date) > as_of)
-    stamp = F.date_format(_c(date), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    stamp = _with_fraction(date, "+00:00")
     return F.when(due, F.struct(F.lit(C.PRIVATE).alias("privacyStatus"), stamp.alias("publishAt")))
 
 
@@ -132,9 +138,8 @@ def status_label(status: Column | str, date: Column | str, as_of: Column) -> Col
 
 
 def thumbnail_key(slug: Column | str, name: Column | str, time_code: Column | str) -> Column:
-    """Common stem of a recording's image names; the time code is written with three decimals."""
-    fraction = F.format_string("%.3f", _c(time_code))
-    return F.concat_ws("_", _c(slug), slugify(drop_ext4(name)), fraction)
+    """Common stem of a recording's image names, with the whole time code."""
+    return F.concat_ws("_", _c(slug), slugify(drop_ext4(name)), _c(time_code).cast("string"))
 
 
 def path_join(*parts: Column | str) -> Column:

@@ -91,12 +91,19 @@ def upsert_catalogue(yt_videos: DataFrame, items: DataFrame, *, order: Sequence[
     return kept.unionByName(added)
 
 
+def _single(changes: DataFrame, key: str) -> DataFrame:
+    """The changes with a true ``_hit``; two changes of one key fail the job instead of doubling the row."""
+    several = F.raise_error(F.concat(F.lit(f"several changes of {key} "), F.col(key).cast("string")))
+    hit = F.when(F.count("*") > 1, several.cast("boolean")).otherwise(F.lit(True)).alias("_hit")
+    return changes.groupBy(key).agg(hit, *[F.first(c).alias(c) for c in changes.columns if c != key])
+
+
 def apply_publish_response(yt_videos: DataFrame, responses: DataFrame) -> DataFrame:
-    """The online videos with title, date and status of an update response (video_id, title, date, status)."""
-    source = responses.select(
-        "video_id", F.col("title").alias("_title"), F.col("date").alias("_date"), F.col("status").alias("_status"),
-        F.lit(True).alias("_hit"),
-    )
+    """The online videos with title, date and status of an update response (video_id, title, date, status), one per video."""
+    source = _single(responses.select(
+        "video_id", F.col("title").alias("_title"), F.col("date").alias("_date"), F.col("status").alias("_status")
+    ), "video_id")
+
     def take(new, old):
         return F.when(F.col("_hit"), F.col(new)).otherwise(F.col(old))
 
@@ -110,7 +117,8 @@ def apply_publish_response(yt_videos: DataFrame, responses: DataFrame) -> DataFr
 def apply_response_description(recordings: DataFrame, yt_videos: DataFrame, responses: DataFrame) -> DataFrame:
     """The recordings with the description of the response to their online video; the last video counts."""
     linked = yt_videos.where(F.col("linked_video").isNotNull()).select("video_id", "pk", "linked_video")
-    texts = linked.join(responses.select("video_id", "description"), "video_id").groupBy("linked_video").agg(
+    given = _single(responses.select("video_id", "description"), "video_id").where("_hit").drop("_hit")
+    texts = linked.join(given, "video_id").groupBy("linked_video").agg(
         F.max_by("description", "pk").alias("_description"), F.lit(True).alias("_hit")
     )
     joined = lookup(recordings, texts, "pk", {"_description": "_description", "_hit": "_hit"}, key="linked_video")
@@ -196,25 +204,24 @@ def apply_patch(table: DataFrame, patches: DataFrame, columns: Sequence[str], *,
     """The table after partial (PATCH) or full (PUT) updates keyed by pk.
 
     PATCH keeps a column whose patch value is null, unless the patch has a true ``<column>_set``,
-    which makes null the value. PUT takes every listed column. Without ``order``, the column that
-    tells which of several updates of a row is later, ``patches`` has one row per pk.
+    which makes null the value. PUT takes every listed column. ``order`` names the column that tells which of several updates
+    of a row is later; without it two updates of a row fail the job.
     """
     if method not in ("PATCH", "PUT"):
         raise ValueError("method is 'PATCH' or 'PUT'")
     if order is not None:
         patches = fold_patches(patches, columns, order, method=method)
     flags = [f"{c}_set" for c in columns if f"{c}_set" in patches.columns]
-    side = patches.select(
-        "pk", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns], *[F.col(f).alias(f"_{f}") for f in flags]
-    )
+    side = _single(patches.select("pk", *[F.col(c).alias(f"_new_{c}") for c in columns], *[F.col(f).alias(f"_{f}") for f in flags]), "pk")
 
     def value(c: str) -> Column:
         new, old = F.col(f"_new_{c}"), F.col(c)
         if method == "PUT":
             return F.when(F.col("_hit"), new).otherwise(old)
+        given = F.coalesce(new, old)
         if f"{c}_set" in flags:
-            return F.when(F.col(f"_{c}_set"), new).otherwise(F.coalesce(new, old))
-        return F.coalesce(new, old)
+            given = F.when(F.col(f"_{c}_set"), new).otherwise(given)
+        return F.when(F.col("_hit"), given).otherwise(old)
 
     return _replace(table.join(side, "pk", "left"), table.columns, {c: value(c) for c in columns})
 
@@ -335,8 +342,3 @@ def delete_cascade(tables: dict[str, DataFrame], deleted: dict[str, DataFrame])
 def purge_images(tables: dict[str, DataFrame], as_of: Column) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables after removing the expired images, and the paths of their files."""
     return delete_cascade(tables, {"tmp_images": expired_images(tables["tmp_images"], as_of)})
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union by name of several frames."""
-    return reduce(DataFrame.unionByName, parts)

@@ -36,6 +36,8 @@ def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return complete.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
 
 
-def team_index(choices: DataFrame) -> DataFrame:
-    """Distinct team choices by URL."""
-    return choices.dropDuplicates(["url"])
+def team_index(choices: DataFrame, *, order: str = "name") -> DataFrame:
+    """One team choice per URL: of several the last by ``order``."""
+    others = [c for c in choices.columns if c != "url"]
+    last = choices.groupBy("url").agg(F.max_by(F.struct(*others), order).alias("_last"))
+    return last.select(*["url" if c == "url" else F.col(f"_last.{c}").alias(c) for c in choices.columns])

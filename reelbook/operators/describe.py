@@ -22,15 +22,20 @@ def number_chapters(chapters: DataFrame, *, group: str = "video", start: str = "
 def chapter_probes(chapters: DataFrame, *, group: str = "video") -> DataFrame:
     """Chapters of a table back in probe form, an array in time order per recording.
 
-    An array becomes one description text, so its length is bounded by what a description may hold
-    (see :func:`description_lines` for more); copies of a chapter are dropped before they are shuffled.
+    An array becomes one description text (see :func:`description_lines` for recordings with more chapters than one text
+    should hold). Equal chapters are all kept, as each has a number of its own.
     """
     entry = F.struct(F.col("start_time").cast("double").alias("_at"), "start_time", "end_time")
-    ordered = F.sort_array(F.collect_set(entry))
+    ordered = F.sort_array(F.collect_list(entry))
     bare = F.transform(ordered, lambda c: F.struct(c["start_time"].alias("start_time"), c["end_time"].alias("end_time")))
     return chapters.groupBy(group).agg(bare.alias("chapters"))
 
 
+def unreadable_chapters(chapters: DataFrame, *, start: str = "start_time") -> DataFrame:
+    """Chapters whose start is no number: they have a position but no line in a description. To be mended before describing."""
+    return chapters.where(F.expr(f"try_cast(`{start}` as double)").isNull())
+
+
 def _header(team1: str, team2: str) -> list[Column]:
     """The lines above the chapters."""
     return [
@@ -84,9 +89,7 @@ def group_recording_parts(parts: DataFrame, *, folder: str = "dir") -> DataFrame
 
     Part numbers have two digits, so an array has at most 100 entries.
     """
-    grouped = parts.select(folder, "key", "part").distinct().groupBy(folder, "key").agg(
-        F.sort_array(F.collect_list("part")).alias("parts")
-    )
+    grouped = parts.groupBy(folder, "key").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     return grouped.select("*", F.transform("parts", lambda p: X.part_file_name(p, F.col("key"))).alias("files"))
 
 

@@ -16,12 +16,13 @@ def relink_videos(yt_videos: DataFrame, recordings: DataFrame, *, tournament: in
     """For every online video the recording whose name or title contains its title: pk, linked_video.
 
     Case does not matter; an empty title is part of every name. Several recordings: the lowest pk,
-    or with ``latest`` the one published last. ``tournament`` limits the recordings only.
+    or with ``latest`` the one published last, those without date behind. ``tournament`` limits the recordings only.
     """
     if tournament is not None:
         recordings = recordings.where(F.col("tournament") == tournament)
     pk = F.col("pk")
-    rank = F.struct((-F.unix_micros(F.col("publication_date").cast("timestamp"))).alias("age"), pk) if latest else pk
+    age = -F.unix_micros(F.col("publication_date").cast("timestamp"))
+    rank = F.struct(age.isNull().alias("undated"), age.alias("age"), pk) if latest else pk
     ranked = recordings.select(rank.alias("rank"), F.array(F.lower("name"), F.lower("video_name")).alias("texts"))
     texts = ranked.select("rank", F.explode("texts").alias("text"))
     titles = yt_videos.select("pk", F.lower("title").alias("pattern"))

@@ -125,7 +125,8 @@ def hal(tables: dict[str, DataFrame], entity: str, base: str, *, page_size: int
     names = rows.columns[3:]
     body = [F.col(f"resource.{c}").alias(c) for c in rows.schema["resource"].dataType.fieldNames()]
     if names:
-        body.append(F.struct(*names).alias("_embedded"))
+        filled = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)) > 0
+        body.append(F.when(filled, F.struct(*names)).alias("_embedded"))
     return rows.select("pk", "page", F.to_json(F.struct(*body)).alias("body"))
 
 

@@ -42,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may go without one; it gets a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that executors on other machines reach")
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -279,7 +279,7 @@ def test_only_stale_thumbnails_are_planned(spark):
         spark,
         tournaments=[{"pk": 1, "name": "Cup", "slug": "cup", "source_dir": "/d", "color": "#1"}],
         team_logos=LOGOS,
-        tmp_images=[{"pk": 1, "name": "cup_final_0.500_base.jpeg"}, {"pk": 2, "name": "cup_final_0.500_thumbnail.jpeg"}],
+        tmp_images=[{"pk": 1, "name": "cup_final_0.5_base.jpeg"}, {"pk": 2, "name": "cup_final_0.5_thumbnail.jpeg"}],
         video_metadata=[
             {"pk": p, "name": "Final.mp4", "tournament": 1, "time_code": 0.5, "miniature_x_offset": 0.0, "miniature_y_offset": 0.0, "miniature_zoom": z,
              "team1": 1, "team2": 2, "base_image": b, "miniature_image": m}

@@ -342,7 +342,7 @@ _SLUG = r"""regexp_replace(regexp_replace(lower(substr(v.name, 1, length(v.name)
 @query("plan_thumbnails", f"""
     with k as (
         select v.*, t.source_dir, t.name as tname, t.color as tcolor, a.image as image1, b.image as image2,
-               concat_ws('_', t.slug, {_SLUG}, printf('%.3f', v.time_code)) as key
+               concat_ws('_', t.slug, {_SLUG}, cast(v.time_code as varchar)) as key
         from {{video_metadata}} v join {{tournaments}} t on t.pk = v.tournament join {{team_logos}} a on a.pk = v.team1
         join {{team_logos}} b on b.pk = v.team2
         where v.miniature_zoom between 1 and 5 and v.miniature_x_offset between 0 and 1 and v.miniature_y_offset between 0 and 1)

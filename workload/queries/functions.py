@@ -85,7 +85,7 @@ def format_pub_date(t: Tables):
 
 @query("publish_schedule", f"""
     select pk, case when due then 'private' end as privacy,
-           case when due then concat(strftime(publication_date, '%Y-%m-%dT%H:%M:%S'), '+00:00') end as publish_at
+           case when due then concat(replace(strftime(publication_date, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', ''), '+00:00') end as publish_at
     from (select *, privacy_status in ('private', 'unlisted') and publication_date > TS'{AS_OF}' as due from {{yt_videos}})""")
 def publish_schedule(t: Tables):
     plan = X.publish_schedule("privacy_status", "publication_date", t.as_of)
@@ -103,7 +103,7 @@ def status_label(t: Tables):
 
 
 @query("thumbnail_key", f"""
-    select v.pk, concat_ws('_', t.slug, {_SLUG.replace('{s}', 'substr(v.name, 1, length(v.name) - 4)')}, printf('%.3f', v.time_code)) as key
+    select v.pk, concat_ws('_', t.slug, {_SLUG.replace('{s}', 'substr(v.name, 1, length(v.name) - 4)')}, cast(v.time_code as varchar)) as key
     from {{video_metadata}} v join {{tournaments}} t on t.pk = v.tournament""")
 def thumbnail_key(t: Tables):
     df = lookup(t["video_metadata"], t["tournaments"], "tournament", {"_slug": "slug"}).dropna(subset=["_slug"])

@@ -152,7 +152,7 @@ def ingest_chapters(t: Tables):
     select y.video_id, v.video_name as title, v.description,
            case when y.privacy_status in ('private', 'unlisted') and v.publication_date > TS'2023-12-31 00:00:00' then 'private' end as privacy,
            case when y.privacy_status in ('private', 'unlisted') and v.publication_date > TS'2023-12-31 00:00:00'
-                then concat(strftime(v.publication_date, '%Y-%m-%dT%H:%M:%S'), '+00:00') end as publish_at,
+                then concat(replace(strftime(v.publication_date, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', ''), '+00:00') end as publish_at,
            'jugger,tournament,sport' as tags, '17' as category
     from {yt_videos} y join {video_metadata} v on v.pk = y.linked_video""")
 def write_publish_payloads(t: Tables):

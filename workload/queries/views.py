@@ -57,7 +57,7 @@ def _resource_sql(entity: str, alias: str) -> str:
             continue
         value = f"{alias}.{c}"
         if c == "publication_date":
-            value = f"strftime({value}, '%Y-%m-%dT%H:%M:%SZ')"
+            value = f"concat(replace(strftime({value}, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', ''), 'Z')"
         elif c == "date":
             value = f"cast({value} as varchar)"
         fields.append(f"'{c}', {value}")
@@ -93,6 +93,7 @@ def _drop_nulls(sql: str) -> str:
     """Take null members out of the JSON text: links of null keys and embedded null rows."""
     pattern = r"""'"(logo|tournament|team1|team2|base_image|miniature_image|game|linked_video)":null,?'"""
     cleaned = f"regexp_replace(body, {pattern}, '', 'g')"
+    cleaned = f"replace({cleaned}, ',\"_embedded\":{{}}', '')"
     return f"select pk, page, replace(regexp_replace({cleaned}, ',}}', '}}', 'g'), ',]', ']') as body from ({sql})"
 
 
