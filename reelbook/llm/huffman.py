@@ -181,7 +181,7 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_coded(tokens: DataFrame, folder: str, *, file_ids: int = FILE_IDS) -> DataFrame:
     """Write all documents in ascending key order (no key first) to files in ``folder``: part, path, n_ids, n_bytes per file.
 
-    ``tokens`` is stored (_key, ids, n_tokens). Rows are sorted across partitions by key and ids; a partition is cut into files
+    ``tokens`` is stored (_key, ids, n_tokens). Rows are sorted across partitions by key (equal keys by a hash of their ids); a partition is cut into files
     of about ``file_ids`` ids. Each attempt of a task names its own files, and only those of finished tasks are in the result.
     """
     spark = tokens.sparkSession
@@ -213,8 +213,10 @@ def write_coded(tokens: DataFrame, folder: str, *, file_ids: int = FILE_IDS) ->
 
         yield from batches_of(out, files(), size=1)
 
-    order = [F.col("_key").asc_nulls_first(), "ids"]
-    ranged = tokens.select("_key", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    first = F.col("_key").asc_nulls_first()
+    # Ranges are found from a sample that the driver gets: a hash in place of the ids keeps it small.
+    marked = tokens.select("_key", "ids").withColumn("_mark", F.xxhash64("ids"))
+    ranged = marked.repartitionByRange(parts, first, "_mark").sortWithinPartitions(first, "_mark", "ids").select("_key", "ids")
     return stage(ranged.mapInArrow(write, "part bigint, place bigint, path string, n_ids bigint, n_bytes bigint"), "files")
 
 
