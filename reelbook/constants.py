@@ -59,6 +59,26 @@ REQUIRED = {
     "yt_videos": ["video_id"],
 }
 
+# Fields unique together; nulls never clash.
+UNIQUE = {"video_metadata": ["name", "tournament"], "yt_videos": ["video_id"]}
+
+# What a new row takes where no value is given.
+DEFAULTS = {
+    "tournaments": {"place": "", "JTR": "", "tugeny_link": "", "color": "#0000", "source_dir": "-", "slug": ""},
+    "teams": {"slug": ""},
+    "games": {"rendered": "", "json_file": "tt", "source_proxy": "", "slug": ""},
+    "cuts": {"json_file": "tt", "slug": ""},
+    "team_logos": {"image": "default.png"},
+    "tmp_images": {"image": "default.png"},
+    "video_metadata": {
+        "time_code": 0, "miniature_x_offset": 0, "miniature_y_offset": 0, "miniature_zoom": 1, "video_name": "", "description": "",
+    },
+    "yt_videos": {"title": "", "privacy_status": ""},
+}
+
+# Fields that take the clock, to the moment or to the day.
+CLOCK_DEFAULTS = {"tmp_images": {"date": "day"}, "video_metadata": {"publication_date": "moment"}, "yt_videos": {"publication_date": "day"}}
+
 # Foreign keys, as (field, referenced table, what a deleted target does).
 FOREIGN_KEYS = {
     "teams": [("logo", "team_logos", "keep")],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelbook import constants as C
 
 
-def _reasons(checks: dict[str, Column]) -> Column:
+def reasons_of(checks: dict[str, Column]) -> Column:
     """Names of the checks that hit; an unknown outcome is no hit."""
     return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in checks.items()]))
 
@@ -20,17 +20,20 @@ def validate_crop(recordings: DataFrame) -> DataFrame:
     checks = {
         c: ~F.col(c).between(0.0, 1.0) for c in ("time_code", "miniature_x_offset", "miniature_y_offset")
     } | {"miniature_zoom": ~F.col("miniature_zoom").between(C.ZOOM_MIN, C.ZOOM_MAX)}
-    return recordings.select("pk", _reasons(checks).alias("reasons")).where(F.size("reasons") > 0)
+    return recordings.select("pk", reasons_of(checks).alias("reasons")).where(F.size("reasons") > 0)
 
 
-def validate_entity(table: DataFrame, entity: str) -> DataFrame:
-    """Rows of a table with missing, overlong or unknown values: entity, pk, reasons."""
-    required = {
-        f"{c} required": F.col(c).isNull() | (F.col(c).cast("string") == "") for c in C.REQUIRED[entity]
-    }
+def value_checks(entity: str, required: list[str]) -> dict[str, Column]:
+    """Checks of single rows: missing, overlong or unknown values."""
+    missing = {f"{c} required": F.col(c).isNull() | (F.col(c).cast("string") == "") for c in required}
     lengths = {f"{c} too long": F.length(c) > n for c, n in C.MAX_LENGTHS[entity].items()}
     choices = {"type_cut unknown": ~F.col("type_cut").isin(C.CUT_TYPES)} if entity == "cuts" else {}
-    reasons = _reasons(required | lengths | choices)
+    return missing | lengths | choices
+
+
+def validate_entity(table: DataFrame, entity: str) -> DataFrame:
+    """Rows of a table with missing, overlong or unknown values: entity, pk, reasons."""
+    reasons = reasons_of(value_checks(entity, C.REQUIRED[entity]))
     return table.select(F.lit(entity).alias("entity"), "pk", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 

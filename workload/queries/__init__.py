@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from workload.queries import aggregates, changes, functions, joins, listings, sources, views  # noqa: F401
+from workload.queries import aggregates, changes, functions, inserts, joins, listings, sources, views  # noqa: F401
