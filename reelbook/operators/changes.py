@@ -74,20 +74,24 @@ def upsert_catalogue(yt_videos: DataFrame, items: DataFrame, *, order: Sequence[
     source = _settled(items, order, update_on).select(
         "video_id", F.col("title").alias("_title"), F.col("date").alias("_date"), F.col("status").alias("_status"), "renamed"
     )
+    # One join serves both the known and the new ids; written by that flag, each is read on its own.
+    both = yt_videos.withColumn("_known", F.lit(True)).join(source, "video_id", "full_outer")
+    joined = stage(both.withColumn("_known", F.coalesce("_known", F.lit(False))), "upsert", partition_by="_known")
     takes = F.col("_title").isNotNull() & (F.col("renamed") | ~F.col("_title").eqNullSafe(F.col("title")))
-    kept = _replace(yt_videos.join(source, "video_id", "left"), yt_videos.columns, {
+    known = joined.where(F.col("_known"))
+    kept = _replace(known, yt_videos.columns, {
         "title": F.when(takes, F.col("_title")).otherwise(F.col("title")),
         "publication_date": F.when(takes, F.col("_date")).otherwise(F.col("publication_date")),
         "privacy_status": F.when(takes, F.col("_status")).otherwise(F.col("privacy_status")),
     })
-    fresh = source.join(yt_videos.select("video_id"), "video_id", "left_anti").select(
+    fresh = joined.where(~F.col("_known")).select(
         "video_id",
         F.col("_title").alias("title"),
         F.lit(None).cast("bigint").alias("linked_video"),
         F.col("_date").alias("publication_date"),
         F.col("_status").alias("privacy_status"),
     )
-    added = surrogate_keys(fresh, ["video_id"], next_key(yt_videos))
+    added = surrogate_keys(fresh, ["video_id"], next_key(known))
     return kept.unionByName(added)
 
 

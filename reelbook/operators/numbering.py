@@ -23,15 +23,16 @@ def _shift(slices: DataFrame, group: list[str]) -> DataFrame:
 def number_within(df: DataFrame, group: list[str], order: str, width: float, *, ties: list[str] = (),
                   alias: str = "position") -> DataFrame:
     """Number the rows of each group from 1 by a numeric column; a slice spans ``width`` of its values."""
-    cut = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
-    inside = Window.partitionBy(*group, "_slice").orderBy(order, *ties)
-    keys = [*group, "_slice"]
-    shift = _shift(cut, group).select(*[F.col(c).alias(f"_shift_{c}") for c in keys], "_before")
-    # Null keys and values are numbered too.
-    same = [F.col(c).eqNullSafe(F.col(f"_shift_{c}")) for c in keys]
+    # Structs with equal nulls are equal, so null keys and values are numbered too, and window and join share one partitioning.
+    whole = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
+    cut = df.withColumn("_place", F.struct(whole.alias("group"), F.floor(F.col(order) / F.lit(width)).alias("slice")))
+    inside = Window.partitionBy("_place").orderBy(order, *ties)
+    before = Window.partitionBy("_place.group").orderBy("_place.slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("_place").agg(F.count("*").alias("_n"))
+    shift = counts.select("_place", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
         cut.withColumn("_rank", F.row_number().over(inside))
-        .join(shift, same)
+        .join(shift, "_place")
         .select(*df.columns, (F.col("_before") + F.col("_rank")).cast("bigint").alias(alias))
     )
 

@@ -11,7 +11,7 @@ from reelbook.operators import changes, linking
 from reelbook.operators.describe import group_recording_parts
 from reelbook.operators.joins import resolve_entity_url
 from reelbook.plans import sync
-from reelbook.plans.thumbnails import plan_thumbnails
+from reelbook.plans.thumbnails import plan_thumbnails, publish_thumbnails
 from reelbook.sources import files
 from reelbook.session import new_folder
 from reelbook.streaming import upsert
@@ -338,6 +338,18 @@ register(
 
 _SLUG = r"""regexp_replace(regexp_replace(lower(substr(v.name, 1, length(v.name) - 4)), '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '-', 'g')"""
 
+_LEFT = "cast(trunc(k.miniature_x_offset * (trunc(1920 * k.miniature_zoom) + 600 - 1920)) as int)"
+_TOP = "cast(trunc(k.miniature_y_offset * (trunc(1080 * k.miniature_zoom) - 1080)) as int)"
+
+
+def _logo_sql(size: str, name: str, x: int, y: int) -> str:
+    """Box of a scaled logo around a point."""
+    scaled = f"trunc(cast(850 * {size}.height as double) / {size}.width)"
+    width = f"(case when {scaled} > 850 then trunc(cast(850 * 850 as double) / {scaled}) else 850 end)"
+    height = f"least({scaled}, 850)"
+    return f"""cast({x} - trunc({width} / 2) as int) as {name}_left, cast({y} - trunc({height} / 2) as int) as {name}_top,
+           cast({width} as int) as {name}_width, cast({height} as int) as {name}_height"""
+
 
 @query("plan_thumbnails", f"""
     with k as (
@@ -349,22 +361,33 @@ _SLUG = r"""regexp_replace(regexp_replace(lower(substr(v.name, 1, length(v.name)
     select k.pk, concat(k.source_dir, '/rendered/', k.name) as source,
            i.name is null or i.name <> concat(k.key, '_base.jpeg') as decode_frame,
            cast(trunc(m.duration * k.time_code) as int) as frame_second,
-           case when cast(m.width as double) / m.height > cast(16 as double) / 9 then cast(m.height as double) * 16 / 9 else cast(m.width as double) end as aspect_width,
-           cast(trunc(k.miniature_x_offset * (trunc(1920 * k.miniature_zoom) + 600 - 1920)) as int) as window_left,
-           cast(trunc(k.miniature_y_offset * (trunc(1080 * k.miniature_zoom) - 1080)) as int) as window_top,
-           cast(case when trunc(cast(850 * s.height as double) / s.width) > 850
-                     then trunc(cast(850 * 850 as double) / trunc(cast(850 * s.height as double) / s.width)) else 850 end as int) as logo1_width,
-           cast(1920 - floor(cast(z.width as double) * 3 / 4) - 80 as int) as title_left,
+           case when m.width is not null then cast(1920 as int) end as frame_width, m.scaled as frame_height,
+           case when cast(1920 as double) / m.scaled > cast(16 as double) / 9 then cast(m.scaled as double) * 16 / 9 else cast(1920 as double) end as aspect_width,
+           case when cast(1920 as double) / m.scaled > cast(16 as double) / 9 then cast(m.scaled as double) else cast(1920 as double) * 9 / 16 end as aspect_height,
+           {_LEFT} as window_left, {_TOP} as window_top, {_LEFT} + cast(1920 as int) as window_right, {_TOP} + cast(1080 as int) as window_bottom,
+           {_logo_sql('s', 'logo1', 300, 270)}, {_logo_sql('u', 'logo2', 450, 810)},
+           cast(1920 - floor(cast(z.width as double) * 3 / 4) - 80 as int) as title_left, cast(600 as int) as title_top,
            image1 as logo1_image, image2 as logo2_image, upper(tname) as title_text, tcolor as color,
            concat(k.key, '_base.jpeg') as base_target, concat(k.key, '_thumbnail.jpeg') as thumbnail_target
     from k left join {{tmp_images}} i on i.pk = k.base_image left join {{tmp_images}} n on n.pk = k.miniature_image
-    left join {{media}} m on m.pk = k.pk left join {{logo_sizes}} s on s.pk = k.team1 left join {{title_sizes}} z on z.pk = k.tournament
+    left join (select *, cast(floor(cast(1920 * height as double) / width) as int) as scaled from {{media}}) m on m.pk = k.pk
+    left join {{logo_sizes}} s on s.pk = k.team1 left join {{logo_sizes}} u on u.pk = k.team2 left join {{title_sizes}} z on z.pk = k.tournament
     where i.name is null or i.name <> concat(k.key, '_base.jpeg') or n.name is null or n.name <> concat(k.key, '_thumbnail.jpeg')""")
 def thumbnails(t: Tables):
     plan = plan_thumbnails(t.entities, t["media"], t["logo_sizes"], t["title_sizes"])
+    boxes = {"frame": ["width", "height"], "aspect": ["width", "height"], "window": ["left", "top", "right", "bottom"],
+             "logo1": ["left", "top", "width", "height"], "logo2": ["left", "top", "width", "height"], "title": ["left", "top"]}
     return plan.select(
-        "pk", "source", "decode_frame", "frame_second", F.col("aspect.width").alias("aspect_width"),
-        F.col("window.left").alias("window_left"), F.col("window.top").alias("window_top"),
-        F.col("logo1.width").alias("logo1_width"), F.col("title.left").alias("title_left"), "logo1_image", "logo2_image",
-        "title_text", "color", "base_target", "thumbnail_target",
+        "pk", "source", "decode_frame", "frame_second", *[F.col(f"{b}.{c}").alias(f"{b}_{c}") for b, cs in boxes.items() for c in cs],
+        "logo1_image", "logo2_image", "title_text", "color", "base_target", "thumbnail_target",
     )
+
+
+@query("publish_thumbnails", """
+    select v.pk, y.video_id, i.image as path, case when y.video_id is null then 'no online video' when i.image is null then 'no thumbnail' end as problem
+    from {video_metadata} v left join {tmp_images} i on i.pk = v.miniature_image
+    left join (select linked_video, arg_min(video_id, pk) as video_id from {yt_videos} where linked_video is not null group by linked_video) y
+      on y.linked_video = v.pk""")
+def thumbnails_to_publish(t: Tables):
+    """Thumbnail and online video of every recording, or what it lacks."""
+    return publish_thumbnails(t["video_metadata"], t["yt_videos"], t["tmp_images"])

@@ -67,6 +67,17 @@ def relink_videos_one_tournament(t: Tables):
     return linking.relink_videos(t["yt_videos"], t["video_metadata"], tournament=TOURNAMENT)
 
 
+@query("relink_videos_latest", """
+    with dated as (select *, case when pk % 7 = 0 then null else publication_date + to_days(cast(pk % 50 as int)) end as day from {video_metadata})
+    select y.pk, arg_min(v.pk, struct_pack(undated := v.day is null, age := coalesce(-epoch(v.day), 0), pk := v.pk)) as linked_video
+    from {yt_videos} y left join dated v on contains(lower(v.name), lower(y.title)) or contains(lower(v.video_name), lower(y.title))
+    group by y.pk""")
+def relink_videos_latest(t: Tables):
+    """The recording published last, those without date behind."""
+    day = F.expr("case when pk % 7 = 0 then null else publication_date + make_dt_interval(cast(pk % 50 as int)) end")
+    return linking.relink_videos(t["yt_videos"], t["video_metadata"].withColumn("publication_date", day), latest=True)
+
+
 _KEYS = f"""
     keys as (select name as title, pk from {{video_metadata}} where tournament = {TOURNAMENT}
              union select video_name, pk from {{video_metadata}})"""
