@@ -8,7 +8,7 @@ together only those whose prefixes hold two of its shingles. Sets that share a s
 
 Equal sets are one *node* from the start. Sets that share a signature are not all compared with each other: each is compared
 with one of them, the hub, and where that ties them together no other pair matters to the components. What is still apart is
-compared with another hub, and once few pairs are left between different components, all of them are.
+compared with some other hubs, and once few pairs are left between different components, all of them are.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ FREQUENT_DEVIATIONS, FREQUENT_ABOVE = 4, 8
 #: Frequent shingles of a set per class of pairs, about.
 CLASS_SIZE = 50
 #: All pairs left between components are compared once they are at most this many times the rows they come from, or once a
-#: turn of hubs has left more than half of them.
+#: turn of several hubs has left more than half of them.
 PAIRS_PER_ROW = 32
+#: Hubs of a signature from the second turn on.
+HUBS = 4
 
 
 def _prefix_signatures(shingles: np.ndarray, frequent: np.ndarray, least: tuple[int, int]) -> np.ndarray:
@@ -193,7 +195,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, least: tuple[int, in
     num, den = least
     of_b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     of_a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.hint("merge").join(of_b, "b").hint("merge").join(of_a, "a").select("a", "b", "text_a", "text_b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
@@ -218,14 +220,15 @@ def _fitting(least: tuple[int, int]):
     return F.lit(least[1]) * F.least("n_a", "n_b") >= F.lit(least[0]) * F.greatest("n_a", "n_b")
 
 
-def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """hub, n_hub, key, n, component: each set under the hub of each of its signatures.
+def _stars(rows: DataFrame, turn: int, hubs: int = 1) -> DataFrame:
+    """hub, n_hub, key, n, component: each set under the hubs of each of its signatures.
 
-    The hubs of a turn go by one order, so they are few, and many signatures shared by the same sets become one star. Sets
+    The hubs of a turn go by one order each, so they are few, and many signatures shared by the same sets become one star. Sets
     that share a signature share a star.
     """
-    hub = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("mark"), "key", "n")).over(Window.partitionBy("signature"))
-    under = rows.withColumn("_hub", hub)
+    whole = Window.partitionBy("signature")
+    first = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "key").alias("mark"), "key", "n")).over(whole) for i in range(hubs)]
+    under = rows.withColumn("_hubs", F.array(*first)).withColumn("_hub", F.explode("_hubs"))
     return under.select(F.col("_hub.key").alias("hub"), F.col("_hub.n").alias("n_hub"), "key", "n", "component").distinct()
 
 
@@ -277,7 +280,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     both = Window.partitionBy("signature")
     shared = rows.withColumn("_lo", F.min("key").over(both)).withColumn("_hi", F.max("key").over(both))
     shared = stage(shared.where(F.col("_lo") < F.col("_hi")).drop("_lo", "_hi"), "shared")
+    # No side of a join with texts has a bound on its size, so none is broadcast: small and large inputs take one plan.
     candidates = shared.select("key").distinct()
+    held = stage(texts.join(candidates.hint("merge"), "key", "left_semi"), "held")
     profiles = stage(nodes.select(F.col("node").alias("key"), "n", "_of.profile", "_of.parity").join(candidates, "key", "left_semi"), "profiles")
 
     # A repeated key ties all sets it has.
@@ -292,11 +297,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         n_rows, n_pairs = per.agg(F.sum("n"), F.sum("pairs")).first()
         if not n_rows:
             break
-        last = turn > 0 and (n_pairs <= PAIRS_PER_ROW * n_rows or n_pairs > before / 2)
-        found = _pairs_between(stars, profiles, least) if last else _hub_pairs(stars, least)
+        last = turn > 0 and (n_pairs <= PAIRS_PER_ROW * n_rows or (turn > 1 and n_pairs > before / 2))
+        if last:
+            found = _pairs_between(stars, profiles, least)
+        else:
+            found = _hub_pairs(stars if turn == 0 else _stars(left, turn, HUBS), least)
         found = stage(_promising(found, profiles, least), "pairs")
         needed = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        links = links.unionByName(_verify(found, stage(texts.join(needed, "key", "left_semi"), "texts"), words, least, "links"))
+        links = links.unionByName(_verify(found, stage(held.join(needed.hint("merge"), "key", "left_semi"), "texts"), words, least, "links"))
         groups = components(links, "near")
         if last:
             break
