@@ -1,4 +1,4 @@
-"""Shards as runs of a Hilbert curve through several metadata dimensions. DataFrame functions only."""
+"""Shards as runs of a Hilbert curve through several metadata dimensions, written whole. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,15 +7,15 @@ import os
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelbook.llm.common import prepare
-from reelbook.session import stage
+from reelbook.llm.common import free_name, prepare
+from reelbook.session import new_folder, stage
 
 #: Bits per dimension; a dimension is cut at ``2**BITS - 1`` quantiles.
 BITS = 5
 #: Relative error of the quantiles is one in this number.
 QUANTILE_ACCURACY = 2_000
-#: Rows of a sorted run, whose rows one task numbers.
-RUN_ROWS = 100_000
+#: Rows and bytes of text of a sorted run, which one task sorts and numbers.
+RUN_ROWS, RUN_BYTES = 100_000, 64 << 20
 #: Leading bytes of a string that place it, behind the prefix all values share.
 STRING_BYTES = 7
 
@@ -83,8 +83,8 @@ def _bounds_below(bounds: Column, value: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= value))
 
 
-def hilbert_order(rows: DataFrame, dimensions: list[str], *, bits: int = BITS, index: str = "curve") -> DataFrame:
-    """``rows`` with their place on a Hilbert curve through ``dimensions``.
+def hilbert_place(rows: DataFrame, dimensions: list[str], *, bits: int = BITS) -> Column:
+    """Place on a Hilbert curve through ``dimensions``, a column of any frame that has them; ``rows`` sets the cells.
 
     Each dimension is cut at its own quantiles, so cells hold about equally many rows of each; a null lies before all values.
     One aggregation over all rows finds the quantiles; the driver gets ``2**bits - 1`` numbers per dimension. Values that are
@@ -103,53 +103,84 @@ def hilbert_order(rows: DataFrame, dimensions: list[str], *, bits: int = BITS, i
     for v, found in zip(numbers, cuts):
         bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found or []))] or [F.lit(0.0)])
         cells.append(F.when(v.isNull(), F.lit(0)).otherwise(_bounds_below(bounds, v)).cast("bigint"))
-    names = [f"_cell{i}" for i in range(len(cells))]
-    placed = rows.select("*", *[c.alias(n) for c, n in zip(cells, names)])
-    return placed.select(*rows.columns, curve_index([F.col(n) for n in names], bits).alias(index))
+    return curve_index(cells, bits)
+
+
+def hilbert_order(rows: DataFrame, dimensions: list[str], *, bits: int = BITS, index: str = "curve") -> DataFrame:
+    """``rows`` with their place on the curve as :func:`hilbert_place` finds it."""
+    return rows.withColumn(index, hilbert_place(rows, dimensions, bits=bits))
 
 
-def shard_runs(ordered: DataFrame, order: list[str], shards: int) -> DataFrame:
+def shard_runs(ordered: DataFrame, order: list[str], shards: int, *, n_rows: int, n_bytes: int) -> DataFrame:
     """Rows cut into ``shards`` runs of the order whose row counts are at most one apart: adds shard, slot (from 0).
 
-    Rows are sorted across partitions, written, and numbered within partitions, shifted by the counts of the partitions before;
-    equal rows may change places, which leaves the result as it is.
+    Whole rows are sorted across partitions once and written with their place in their run, which the counts of the runs before
+    shift; equal rows may change places, which leaves the result as it is.
     """
-    kept = stage(ordered, "curve")
-    n = kept.count()
-    parts = max(1, -(-n // RUN_ROWS))
-    runs = stage(kept.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_run", F.spark_partition_id()), "runs")
+    parts = max(1, -(-n_rows // RUN_ROWS), -(-n_bytes // RUN_BYTES))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # rows before in the partition
+    runs = _stored(ordered.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_run"), inside.alias("_inside")),
+                   new_folder(ordered.sparkSession, "runs"))
     counts = runs.groupBy("_run").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_run").orderBy(*order)
-    numbered = runs.withColumn("_inside", F.row_number().over(inside) - 1).join(shift, "_run")
-    rank = F.col("_before") + F.col("_inside")
     # The first rank of shard k is the least r with r * shards >= k * n.
-    numbered = numbered.withColumn("_rank", rank.cast("bigint"))
-    placed = numbered.withColumn("shard", F.expr(f"_rank * {shards}L div {max(n, 1)}L"))
-    first = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}L) div {shards}L")
-    return placed.select(*ordered.columns, F.col("shard").cast("int").alias("shard"), (F.col("_rank") - first).cast("bigint").alias("slot"))
+    numbered = runs.join(F.broadcast(shift), "_run").withColumn("_rank", (F.col("_before") + F.col("_inside")).cast("bigint"))
+    placed = numbered.withColumn("_shard", F.expr(f"_rank * {shards}L div {max(n_rows, 1)}L"))
+    first = F.expr(f"(_shard * {max(n_rows, 1)}L + {shards - 1}L) div {shards}L")
+    return placed.select(*ordered.columns, F.col("_shard").cast("int").alias("_shard"), (F.col("_rank") - first).cast("bigint").alias("_slot"))
+
+
+def _stored(df: DataFrame, folder: str, **by) -> DataFrame:
+    """A frame of whole rows written to a folder and read back."""
+    df.write.parquet(folder, compression="zstd", **by)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(df.columns)
+
+
+def write_shards(docs: DataFrame, shards: int, folder: str, *, text: str = "text", dimensions: tuple[str, ...] = ("lang", "source"),
+                 order: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Write ``docs``, whole, as ``shards`` runs of a Hilbert curve; the rows read back and the ranges of each shard.
+
+    Dimensions of the curve are ``dimensions`` and the bytes of the text, so files cut along it can be skipped by language,
+    source or size alike. ``folder/rows`` is Parquet partitioned by shard, with all columns, ``slot`` and ``curve_index``;
+    ``folder/ranges`` has the rows and bytes of each shard and the least and greatest value of each dimension. New columns get
+    underscores in front if their name is taken. Shards differ by one row at most; repeated rows each get a place.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    body = F.coalesce(F.col(named[text]).cast("string"), F.lit(""))
+    rows = rows.withColumn("_size", F.octet_length(body).cast("bigint"))
+    along = [*(named[c] for c in dimensions), "_size"]
+    metadata = stage(rows.select(*along), "metadata")
+    n_rows, n_bytes = metadata.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    placed = rows.withColumn("_curve", hilbert_place(metadata, along, bits=bits))
+    keys = [named[c] for c in order]
+    mixed = placed.withColumn("_mix", F.xxhash64(*keys)).withColumn("_crc", F.crc32(F.encode(body, "utf-8")))
+    cut = shard_runs(mixed, ["_curve", "_mix", *keys, "_crc", "_size"], shards, n_rows=n_rows, n_bytes=n_bytes)
+    shard, slot, curve = (free_name(docs, c) for c in ("shard", "slot", "curve_index"))
+    whole = cut.sortWithinPartitions("_shard", "_slot").select(
+        *[F.col(n).alias(c) for c, n in named.items()], F.col("_slot").alias(slot), F.col("_curve").alias(curve), F.col("_shard").alias(shard)
+    )
+    back = _stored(whole, f"{folder}/rows", partitionBy=shard)
+    size = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    ends = [f(c).alias(f"{n}_{c}") for c in dimensions for n, f in (("min", F.min), ("max", F.max))]
+    ranges = back.groupBy(shard).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"), *ends, F.min(size).alias("min_size"), F.max(size).alias("max_size"))
+    return back, _stored(ranges, f"{folder}/ranges")
 
 
 def hilbert_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text",
                    dimensions: tuple[str, ...] = ("lang", "source"), bits: int = BITS) -> DataFrame:
-    """Every row of ``docs`` in one of ``shards`` runs of a Hilbert curve: key, size, text_crc32, law, shard, slot, grown_shard.
+    """Every row of ``docs`` as read back from its shard: key, size, text_crc32, law, shard, slot, grown_shard, curve_index.
 
-    Dimensions of the curve are ``dimensions`` and the size of the text, so files cut along it can be skipped by language,
-    source or size alike. The law is ``rows``: shards differ by one row at most. A null text has size 8 and checksum 0;
-    repeated rows each get a place; texts themselves are read once and never shuffled. An empty table gives no rows.
+    The shards are those of :func:`write_shards`, in the shared folder. The law is ``rows``: shards differ by one row at most. A
+    null text has size 8 and checksum 0. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
+    back, _ = write_shards(docs, shards, new_folder(docs.sparkSession, "shards"), text=text, dimensions=dimensions, order=(key,), bits=bits)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(key).alias("_key"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(dimensions)],
-        (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"),
-    )
-    rows = stage(rows, "metadata")
-    placed = hilbert_order(rows, [*(f"_d{i}" for i in range(len(dimensions))), "size"], bits=bits)
-    placed = placed.select("_key", "size", "text_crc32", "curve", F.xxhash64("_key").alias("_mix"))
-    cut = shard_runs(placed, ["curve", "_mix", "_key", "text_crc32", "size"], shards)
-    return cut.select(
-        F.col("_key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), F.col("curve").alias("curve_index"),
+    slot, curve, shard = back.columns[-3:]
+    return back.select(
+        key, (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col(curve).alias("curve_index"),
     )
