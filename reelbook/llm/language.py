@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from reelbook.llm.common import batches_of, prepare, texts_of
 from reelbook.session import stage
 
-#: Languages told apart; a text of none of them is undetermined.
-LANGUAGES = ("de", "en", "es", "fr")
-UNDETERMINED = "und"
+#: Declared languages with a model of their own at most, those most rows declare; all others share one model, ``OTHER``.
+MOST_LANGUAGES = 32
+OTHER, UNDETERMINED = "other", "und"
+#: Codes that name no language.
+_NO_LANGUAGES = ("und", "mul", "zxx", "mis")
 #: Trigrams are counted in this many buckets; a text weighs as at most so many independent ones.
 BUCKETS, MOST_WEIGHT = 1 << 13, 60.0
 #: Rows a suffix or host counts as in the prior above it.
@@ -43,38 +45,51 @@ def _trigrams(text: str) -> np.ndarray:
     return ((key ^ (key >> 15)) * 0x2C1B3C6D >> 12 & (BUCKETS - 1))[code[1:-1] != 32]
 
 
+def _primary(code: Column) -> Column:
+    """Language of a code such as ``en-US``, in small letters; null if it names none."""
+    found = F.lower(F.regexp_extract(F.coalesce(code, F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_][A-Za-z0-9_-]*)?\s*$", 1))
+    return F.when((found != "") & ~found.isin(*_NO_LANGUAGES), found)
+
+
+def _languages(found: DataFrame, most: int) -> tuple[str, ...]:
+    """The ``most`` languages most rows declare, and ``OTHER`` if there are more."""
+    counts = found.where(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("n"))
+    listed = [r[0] for r in counts.orderBy(F.desc("n"), "declared").limit(most + 1).collect()]
+    return (*sorted(listed[:most]), *[OTHER] * (len(listed) > most))
+
+
 def evidence(rows: DataFrame, *, key: str, text: str, declared: str | None = None, url: str | None = None, host: str | None = None,
              markup: bool = False) -> DataFrame:
     """_key, text, declared (language of the markup or of a column), host, suffix of each row."""
     address = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)) if url else (
         F.coalesce(F.col(host).cast("string"), F.lit("")) if host else F.lit(""))
-    said = F.lower(F.col(declared).cast("string")) if declared else F.lit(None).cast("string")
+    said = _primary(F.col(declared).cast("string")) if declared else F.lit(None).cast("string")
     if markup:
-        said = F.coalesce(said, F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", 1)), F.lit("")))
+        said = F.coalesce(said, _primary(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)", 1)))
     return rows.select(
         F.col(key).cast("bigint").alias("_key"), F.col(text).cast("string").alias("text"),
-        F.when(said.isin(*LANGUAGES), said).alias("declared"), address.alias("host"), F.regexp_extract(address, r"\.([^.]+)$", 1).alias("suffix"),
+        said.alias("declared"), address.alias("host"), F.regexp_extract(address, r"\.([^.]+)$", 1).alias("suffix"),
     )
 
 
-def _trigram_counts(found: DataFrame, markup: bool) -> np.ndarray:
+def _trigram_counts(found: DataFrame, markup: bool, languages: tuple[str, ...]) -> np.ndarray:
     """Counts of trigram buckets per language that rows declare, over all of them."""
     out = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        seen = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        seen = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for said, text in texts_of(batch, "text", "declared"):
-                seen[LANGUAGES.index(said)] += np.bincount(_trigrams(_TAGS.sub(" ", text) if markup else text), minlength=BUCKETS)
+                seen[languages.index(said)] += np.bincount(_trigrams(_TAGS.sub(" ", text) if markup else text), minlength=BUCKETS)
         cells = np.flatnonzero(seen)
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(seen.ravel()[cells])], schema=out)
 
     rows = found.where(F.col("declared").isNotNull()).select("declared", "text").mapInArrow(run, "cell int, n bigint")
-    counts = np.zeros(len(LANGUAGES) * BUCKETS)
-    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # len(LANGUAGES) * BUCKETS at most
+    counts = np.zeros(len(languages) * BUCKETS)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # (MOST_LANGUAGES + 1) * BUCKETS at most
         counts[r["cell"]] = r["n"]
-    return counts.reshape(len(LANGUAGES), BUCKETS)
+    return counts.reshape(len(languages), BUCKETS)
 
 
 def _likelihoods(found: DataFrame, counts: np.ndarray, markup: bool) -> DataFrame:
@@ -97,28 +112,38 @@ def _likelihoods(found: DataFrame, counts: np.ndarray, markup: bool) -> DataFram
     return found.mapInArrow(run, "_key bigint, declared string, host string, suffix string, text_ll array<double>, n_trigrams bigint")
 
 
-def _best(scores: Column) -> Column:
+def _best(scores: Column, languages: tuple[str, ...]) -> Column:
     """Language with the highest score, the first of equals."""
-    return F.element_at(F.array(*map(F.lit, (*LANGUAGES, UNDETERMINED))), F.array_position(scores, F.array_max(scores)).cast("int"))
+    return F.element_at(F.array(*map(F.lit, (*languages, UNDETERMINED))), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
 def identify_languages(rows: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str | None = None, url: str | None = None,
-                       host: str | None = None, markup: bool = False) -> DataFrame:
+                       host: str | None = None, markup: bool = False, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """Language of every row: key, language, posterior, text_language, declared, accepted.
 
+    Languages are those that rows declare, by the first part of their code (``en`` of ``en-US``). The ``most_languages`` most
+    declared have a model each, all others one together, named ``other``. A language whose declared rows have no letters has no
+    model and counts as undeclared; where no row declares a language all are undetermined and none is accepted.
+
     ``declared`` names a column, ``markup`` reads ``<html lang=...>`` of the text, ``url`` or ``host`` gives the host and its
     suffix. A text without letters is undetermined whatever is declared, and not accepted; nor is one whose posterior is below
     ``ACCEPT``. Null hosts share one prior. Repeated keys are rows of their own.
     """
     prepare(rows.sparkSession)
     found = evidence(rows, key=key, text=text, declared=declared, url=url, host=host, markup=markup)
-    counts = _trigram_counts(found, markup)
-    scored = stage(_likelihoods(found, counts, markup).withColumn("text_language", F.when(F.col("n_trigrams") > 0, _best(F.col("text_ll"))).otherwise(UNDETERMINED)), "language")
-    all_ = (*LANGUAGES, UNDETERMINED)
+    languages = _languages(found, most_languages)
+    said = F.when(F.col("declared").isin(*languages), F.col("declared"))
+    found = found.withColumn("declared", F.when(F.col("declared").isNotNull(), F.coalesce(said, F.lit(OTHER))) if OTHER in languages else said)
+    counts = _trigram_counts(found, markup, languages)
+    trained = counts.sum(axis=1) > 0
+    languages, counts = tuple(l for l, t in zip(languages, trained) if t), counts[trained]
+    found = found.withColumn("declared", F.when(F.col("declared").isin(*languages), F.col("declared")))
+    scored = stage(_likelihoods(found, counts, markup).withColumn("text_language", F.when(F.col("n_trigrams") > 0, _best(F.col("text_ll"), languages)).otherwise(UNDETERMINED)), "language")
+    all_ = (*languages, UNDETERMINED)
 
     # Markup: how often a text of each language declares each, smoothed by one row.
     pairs = {(r[0], r[1]): r[2] for r in scored.where(F.col("n_trigrams") > 0).groupBy("text_language", "declared").agg(F.count("*")).collect()}
-    said = {d: [math.log((pairs.get((l, d), 0) + 1) / (sum(pairs.get((l, x), 0) for x in LANGUAGES) + len(LANGUAGES))) for l in all_] for d in LANGUAGES}
+    said = {d: [math.log((pairs.get((l, d), 0) + 1) / (sum(pairs.get((l, x), 0) for x in languages) + len(languages))) for l in all_] for d in languages}
     markup_ll = F.coalesce(*[F.when(F.col("declared") == d, F.array(*map(F.lit, v))) for d, v in said.items()], F.array(*[F.lit(0.0)] * len(all_)))
 
     # Priors: rows per language of all, of a suffix, of a host, each smoothed by the one above.
@@ -130,7 +155,7 @@ def identify_languages(rows: DataFrame, *, key: str = "doc_id", text: str = "tex
     size = sum((F.col(l) for l in all_), F.lit(0.0))
     suffixes = by_suffix.select("suffix", F.array(*[(F.col(l) + PRIOR_ROWS * p) / (size + PRIOR_ROWS) for l, p in zip(all_, base)]).alias("_above"))
     hosts = scored.groupBy("host", "suffix").agg(*each).join(suffixes, "suffix").select(
-        "host", F.array(*[(F.col(l) + PRIOR_ROWS * F.col("_above")[i]) / (size + PRIOR_ROWS) for i, l in enumerate(LANGUAGES)], F.lit(NO_LANGUAGE)).alias("prior")
+        "host", F.array(*[(F.col(l) + PRIOR_ROWS * F.col("_above")[i]) / (size + PRIOR_ROWS) for i, l in enumerate(languages)], F.lit(NO_LANGUAGE)).alias("prior")
     )
     joined = scored.join(stage(hosts, "hosts"), "host")
     scores = F.transform(F.arrays_zip("text_ll", markup_ll.alias("m"), "prior"), lambda z: z["text_ll"] + z["m"] + F.log(z["prior"]))
@@ -138,7 +163,7 @@ def identify_languages(rows: DataFrame, *, key: str = "doc_id", text: str = "tex
     top = F.array_max("_scores")
     posterior = 1 / F.aggregate("_scores", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     known = F.col("n_trigrams") > 0
-    named = fused.withColumn("language", F.when(known, _best(F.col("_scores"))).otherwise(UNDETERMINED)).withColumn("posterior", F.when(known, posterior).otherwise(0.0))
+    named = fused.withColumn("language", F.when(known, _best(F.col("_scores"), languages)).otherwise(UNDETERMINED)).withColumn("posterior", F.when(known, posterior).otherwise(0.0))
     return named.select(
         F.col("_key").alias(key), "language", "posterior", "text_language", "declared",
         ((F.col("language") != UNDETERMINED) & (F.col("posterior") >= ACCEPT)).alias("accepted"),
