@@ -3,16 +3,18 @@
 A batch only writes its own normalised items, into a folder named by its number; replaying a batch
 writes the same folder again. The online videos are the base snapshot with that log applied in
 order, by the same upsert as the batch job, so their cost is paid when they are read or compacted,
-not once per batch.
+not once per batch. A compacted snapshot keeps the number of the last batch it holds, and only later
+batches apply to it. Log, snapshots and the checkpoint that numbers the batches belong together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelbook.operators.changes import upsert_catalogue
-from reelbook.schemas import CATALOGUE_PAGE
+from reelbook.schemas import CATALOGUE_PAGE, ENTITIES
 from reelbook.sources.catalogue import catalogue_items
 
 
@@ -40,6 +42,33 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(schema).parquet(log)
 
 
-def current_videos(yt_videos: DataFrame, log: DataFrame, *, update_on: str = "title") -> DataFrame:
-    """The online videos after every logged batch."""
+def current_videos(yt_videos: DataFrame, log: DataFrame, *, update_on: str = "title", after: int | None = None) -> DataFrame:
+    """The online videos after every logged batch, or every one later than ``after``, the last ``yt_videos`` holds."""
+    if after is not None:
+        log = log.where(F.col("batch") > after)
     return upsert_catalogue(yt_videos, log, order=["batch", "page_no", "item_pos"], update_on=update_on)
+
+
+def write_snapshot(yt_videos: DataFrame, applied: int, folder: str) -> None:
+    """Write online videos and the last batch they hold to a new folder; without the latter, written last, it is not read."""
+    yt_videos.write.parquet(f"{folder}/videos")
+    yt_videos.sparkSession.range(1).select(F.lit(applied).cast("bigint").alias("batch")).write.parquet(f"{folder}/applied")
+
+
+def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Online videos of a snapshot and the last batch they hold, to be given to :func:`current_videos` as ``after``."""
+    applied = spark.read.schema("batch long").parquet(f"{folder}/applied").first()["batch"]
+    return spark.read.schema(ENTITIES["yt_videos"]).parquet(f"{folder}/videos"), applied
+
+
+def compact_log(yt_videos: DataFrame, log: DataFrame, folder: str, *, update_on: str = "title", after: int | None = None, through: int | None = None) -> int:
+    """Write the online videos after the logged batches as a snapshot in a new folder; the last batch it holds.
+
+    ``after`` is the last batch ``yt_videos`` holds already. While the stream runs, ``through`` names the last finished batch.
+    """
+    if through is not None:
+        log = log.where(F.col("batch") <= through)
+    last = log.agg(F.max("batch")).first()[0]
+    applied = max((x for x in (last, after, through) if x is not None), default=-1)
+    write_snapshot(current_videos(yt_videos, log, update_on=update_on, after=after), applied, folder)
+    return applied
