@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbook.llm import bpe, cosine, hilbert, huffman, impact, importance, jaccard, language, packing, warc
+from reelbook.llm import bpe, cosine, hilbert, huffman, impact, importance, jaccard, language, mixing, packing, warc
 from reelbook.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,12 @@ def page_languages(spark: SparkSession, folder: str) -> DataFrame:
 def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Weight of all documents against the labelled target, and the sample."""
     return importance.quality_sample(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op12_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often every document is taken so that sources weigh 5, 2, 1 in code-point order."""
+    return mixing.mix_sources(read_table(spark, folder, "documents"))
+
+
+ORACLES["op12_pareto_mixing"] = mixing.twin_sql()
