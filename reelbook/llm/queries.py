@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbook.llm import bpe, cosine, hilbert, huffman, impact, importance, jaccard, language, mixing, packing, warc
+from reelbook.llm import bpe, cosine, divergence, hilbert, huffman, impact, importance, jaccard, language, mixing, packing, warc
 from reelbook.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,12 @@ def op12_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_pareto_mixing"] = mixing.twin_sql()
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms by which a source stands out."""
+    return divergence.audit_sources(read_table(spark, folder, "documents"))
+
+
+ORACLES["op13_source_divergence"] = divergence.twin_sql()
