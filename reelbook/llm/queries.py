@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbook.llm import bpe, cosine, divergence, hilbert, huffman, impact, importance, jaccard, language, mixing, packing, warc
+from reelbook.llm import bpe, cosine, divergence, hilbert, huffman, impact, importance, jaccard, language, mixing, packing, phrases, warc
 from reelbook.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,12 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_source_divergence"] = divergence.twin_sql()
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of two to four words in each language of all documents."""
+    return phrases.phrases(read_table(spark, folder, "documents"))
+
+
+ORACLES["op11_phrase_mining"] = phrases.twin_sql()
