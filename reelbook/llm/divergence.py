@@ -102,10 +102,12 @@ def spread(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def shard_values(key: tuple, counts: pa.Table, groups: pa.Table, most: int) -> pa.Table:
     """What a shard adds: divergence of each pair of sources (once per pair, the lesser name first), best terms of each source.
 
-    ``key`` ends with the two blocks of sources; within one block all pairs count, otherwise pairs across. ``groups`` has lang, source,
+    ``key`` ends with shard and two blocks of sources; within one block all pairs count, otherwise pairs across. A kept term that neither
+    block has adds the same to a pair as any other such term: shard 0 adds that for all kept terms and every shard takes it back
+    for those it holds. ``groups`` has lang, source,
     total, lang_total, kept and block; ``counts`` source, term, n, lang_n.
     """
-    one, other = (k.as_py() for k in key[-2:])
+    shard, one, other = (k.as_py() for k in key[-3:])
     groups = groups.sort_by("source")
     sources, blocks = groups["source"].combine_chunks(), groups["block"].to_numpy()
     lang, kept, lang_total = (groups[c][0].as_py() for c in ("lang", "kept", "lang_total"))
@@ -117,7 +119,7 @@ def shard_values(key: tuple, counts: pa.Table, groups: pa.Table, most: int) -> p
     of, term, n = of[by_term], term[by_term], n[by_term]
     share = shares(n, total[of], kept) if len(n) else n
     summed = np.zeros((len(sources), len(sources)), np.int64)
-    least = shares(np.zeros(len(sources), np.int64), total, kept) if kept else total
+    least = shares(np.zeros(len(sources), np.int64), total, kept) if kept else np.ones(len(sources), np.int64)
     width = max(1, CELLS // len(sources))
     for lo in range(0, len(coded.dictionary), width):
         cut = slice(*np.searchsorted(term, [lo, lo + width]))
@@ -125,6 +127,7 @@ def shard_values(key: tuple, counts: pa.Table, groups: pa.Table, most: int) -> p
         p[of[cut], term[cut] - lo] = share[cut]
         for s in range(len(sources) - 1):
             summed[s, s + 1 :] += spread(p[s], p[s + 1 :]).sum(axis=1)
+    summed += ((kept if shard == 0 else 0) - len(coded.dictionary)) * spread(least[:, None], least)
     a, b = np.triu_indices(len(sources), 1)
     if one != other:
         across = blocks[a] != blocks[b]
