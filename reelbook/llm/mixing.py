@@ -82,22 +82,23 @@ def _expected(rows: DataFrame, copies: int) -> DataFrame:
     The factor of a source solves: sizes times copies sum to the target. A factor that lets more documents stop at ``copies`` is
     raised for the others; a round is one sum over all rows.
     """
-    state = stage(rows.groupBy("_source").agg(F.first("target").alias("_t"), F.sum(_exact("size") * _exact("_weight")).cast("double").alias("_open"))
-                  .select("_source", F.when(F.col("_open") > 0, F.col("_t") / F.col("_open")).alias("_factor"), F.lit(0).cast("bigint").alias("_stopped")), "mix-factors")
-    while True:
-        joined = rows.join(state, F.col("_source").eqNullSafe(state["_source"]), "left").drop(state["_source"])
+    opened = rows.groupBy("_source").agg(F.first("target").alias("_t"), F.sum(_exact("size") * _exact("_weight")).cast("double").alias("_open"))
+    factor = F.when(F.col("_open") > 0, F.col("_t") / F.col("_open"))
+    state = stage(opened.select("_source", factor.alias("_factor"), F.lit(0).cast("bigint").alias("_stopped")), "mix-factors")
+    moving = True
+    while moving:
+        known = state.select(F.col("_source").alias("_of"), "_factor", "_stopped")
+        joined = rows.join(known, F.col("_source").eqNullSafe(F.col("_of")), "left")
         full = F.coalesce(F.col("_factor") * F.col("_weight") >= copies, F.lit(False))
         sums = joined.groupBy("_source").agg(
             F.first("target").alias("_t"), F.count(F.when(full, 1)).alias("_n"), F.first("_stopped").alias("_stopped"), F.first("_factor").alias("_old"),
             F.coalesce(F.sum(F.when(full, F.col("size"))), F.lit(0)).alias("_given"),
             F.coalesce(F.sum(F.when(~full, _exact("size") * _exact("_weight"))), F.lit(0)).cast("double").alias("_open"),
         )
-        raised = F.when(F.col("_open") > 0, (F.col("_t") - copies * F.col("_given")) / F.col("_open")).otherwise(F.col("_old"))
         moved = F.col("_n") > F.col("_stopped")
-        state = stage(sums.select("_source", F.when(moved, F.greatest("_old", raised)).otherwise(F.col("_old")).alias("_factor"), F.col("_n").alias("_stopped"), moved.alias("_moved")), "mix-factors")
-        if not state.where("_moved").limit(1).count():
-            break
-        state = state.drop("_moved")
+        raised = F.when(moved & (F.col("_open") > 0), F.greatest("_old", (F.col("_t") - copies * F.col("_given")) / F.col("_open"))).otherwise(F.col("_old"))
+        state = stage(sums.select("_source", raised.alias("_factor"), F.col("_n").alias("_stopped"), moved.alias("_moved")), "mix-factors")
+        moving = state.where("_moved").limit(1).count() > 0
     factors = state.select(F.col("_source").alias("_of"), "_factor")
     wanted = F.least(F.coalesce(F.col("_factor") * F.col("_weight"), F.lit(0.0)), F.lit(float(copies)))
     return rows.join(factors, F.col("_source").eqNullSafe(F.col("_of")), "left").select(*rows.columns, wanted.alias("_copies"))
