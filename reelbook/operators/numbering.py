@@ -66,3 +66,21 @@ def top_rows(df: DataFrame, group: list[str], order: list[Column | str], n: int)
     """First ``n`` rows of each group with their ``rank``; map tasks already keep only ``n`` per group."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= n)
+
+
+def sums_before(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], label: str) -> DataFrame:
+    """Adds, per alias, the sum of a whole-number column over the rows of the group that come before in ``order``.
+
+    Rows are dealt to ranges of (group, order) that Spark measures, so a hot group spreads over as many tasks as it has rows for
+    and small groups share one. The ranges are stored with their number; each is summed by itself and shifted by the totals of
+    the group's ranges before it, of which there are at most as many as partitions. ``group`` has no nulls; rows equal in
+    ``order`` come in any order.
+    """
+    dealt = df.repartitionByRange(*group, *order).select(*df.columns, *[c.alias(f"_of_{a}") for a, c in sums.items()], F.spark_partition_id().alias("_range"))
+    cut = stage(dealt, label)
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*group, "_range").agg(*[F.sum(f"_of_{a}").alias(f"_in_{a}") for a in sums])
+    shift = totals.select(*group, "_range", *[F.coalesce(F.sum(f"_in_{a}").over(before), F.lit(0)).alias(f"_by_{a}") for a in sums])
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.select(*df.columns, "_range", *[F.coalesce(F.sum(f"_of_{a}").over(inside), F.lit(0)).alias(f"_at_{a}") for a in sums])
+    return summed.join(shift, [*group, "_range"]).select(*df.columns, *[(F.col(f"_by_{a}") + F.col(f"_at_{a}")).cast("bigint").alias(a) for a in sums])

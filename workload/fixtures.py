@@ -196,9 +196,9 @@ def duckdb_sql(text: str) -> str:
     """A query over the tables as one DuckDB statement over the given views."""
     ctes = [f"{name} as ({DERIVED[name]})" for name in _closure(text, [])]
     body = text.strip()
-    if ctes and body[:5].lower() == "with ":
-        body = body[5:]
-        whole = "with " + ",\n".join(ctes) + ",\n" + body
+    opening = next((x for x in ("with recursive ", "with ") if body.lower().startswith(x)), None)
+    if ctes and opening:
+        whole = opening + ",\n".join(ctes) + ",\n" + body[len(opening):]
     else:
         whole = ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
     whole = whole.replace("TSTYPE", "timestamp").replace("TS'", "timestamp '")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbook.operators import changes, linking
+from reelbook.operators import changes, claims, linking
 from reelbook.operators.describe import group_recording_parts
 from reelbook.operators.joins import resolve_entity_url
 from reelbook.plans import sync
@@ -148,6 +148,23 @@ def claim_unlinked(t: Tables):
     return linking.claim_unlinked(t["yt_videos"], t["video_metadata"]).select("pk", "video_id", "linked_video")
 
 
+@query("claim_unlinked_all", """
+    with recursive free as (select pk, title from {yt_videos} where linked_video is null),
+    asking as (select v.pk as recording, list(y.pk order by y.pk) as wanted from {video_metadata} v
+               join free y on y.title in (split_part(v.name, '.', 1), v.video_name) group by v.pk),
+    turns as (select *, row_number() over (order by recording) as turn from asking),
+    walk as (select cast(0 as bigint) as turn, cast(null as bigint) as recording, cast(null as bigint) as yt_video, cast([] as bigint[]) as taken
+             union all
+             select turn, recording, yt_video, case when yt_video is null then taken else list_append(taken, yt_video) end as taken from (
+                 select t.turn, t.recording, w.taken, list_filter(t.wanted, lambda x: not list_contains(w.taken, x))[1] as yt_video
+                 from walk w join turns t on t.turn = w.turn + 1))
+    select y.pk, y.video_id, coalesce(y.linked_video, w.recording) as linked_video from {yt_videos} y
+    left join (select recording, yt_video from walk where yt_video is not null) w on w.yt_video = y.pk""")
+def claim_unlinked_all(t: Tables):
+    """All recordings claim one after the other."""
+    return claims.claim_all(t["yt_videos"], t["video_metadata"]).select("pk", "video_id", "linked_video")
+
+
 @query("apply_publish_response", """
     select y.pk, coalesce(r.title, y.title) as title, y.video_id, y.linked_video, coalesce(r.date, y.publication_date) as publication_date,
            coalesce(r.status, y.privacy_status) as privacy_status
