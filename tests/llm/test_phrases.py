@@ -62,6 +62,7 @@ def test_phrases_equal_counting_all_runs(spark, rows, least):
 def test_small_blocks_and_tiles_change_nothing(spark, rows, monkeypatch):
     expected = brute(rows, 3, longest=3, most=5)
     monkeypatch.setattr(phrases, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(phrases, "BAND", 40)
     docs = table(spark, rows).repartition(7)
     assert sorted(map(tuple, phrases.phrases(docs, least=3, longest=3, most=5).collect())) == expected
 
@@ -81,10 +82,22 @@ def test_tiles_count_pairs_in_every_density(monkeypatch):
     a, b, n, which = phrases.tile_counts(u, v)
     assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == Counter(zip(u.tolist(), v.tolist()))
     assert (a[which] == u).all() and (b[which] == v).all()
+    weights = rnd.integers(1, 9, len(u))
+    assert phrases.tile_counts(u, v, weights)[2].tolist() == np.bincount(which, weights).astype(int).tolist()
     none = np.zeros(0, np.int64)
     assert [len(x) for x in phrases.tile_counts(none, none)] == [0] * 4
 
 
+def test_packed_numbers_come_back():
+    rnd = np.random.default_rng(2)
+    for size in (0, 1, 500):
+        u = np.sort(rnd.integers(0, 40, size)) + (1 << 33)
+        v = rnd.integers(0, 1 << 40, size)
+        order = np.lexsort((v, u))
+        u, v, n = u[order], v[order], rnd.integers(1, 300, size)
+        assert [x.tolist() for x in phrases.unpacked_pairs(phrases.packed_pairs(u, v, n), size)] == [u.tolist(), v.tolist(), n.tolist()]
+
+
 def test_tokens_end_with_their_text():
     data, lengths, first = phrases.tokens_of(pa.array(["Ab c", "", "de", " f.g\th ", "."])[0:])
     ends = np.cumsum(lengths)
