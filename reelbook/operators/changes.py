@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelbook import constants as C
@@ -62,44 +62,53 @@ def _settled(items: DataFrame, order: Sequence[str], update_on: str) -> DataFram
     )
 
 
-def upsert_catalogue(yt_videos: DataFrame, items: DataFrame, *, order: Sequence[str] = ("page_no", "item_pos"),
-                     update_on: str = "title") -> DataFrame:
-    """The online videos after a catalogue sync.
-
-    New ids are inserted. A known id takes title, date and status when its title differs, and nothing
-    otherwise; ``update_on='any'`` always takes the last item.
-    """
+def settled_items(items: DataFrame, *, order: Sequence[str] = ("page_no", "item_pos"), update_on: str = "title") -> DataFrame:
+    """What a sequence of items leaves per video, stored: video_id, title, date, status, renamed (see :func:`apply_settled`)."""
     if update_on not in ("title", "any"):
         raise ValueError("update_on is 'title' or 'any'")
-    source = _settled(items, order, update_on).select(
-        "video_id", F.col("title").alias("_title"), F.col("date").alias("_date"), F.col("status").alias("_status"), "renamed"
-    )
-    # One join serves both the known and the new ids; written by that flag, each is read on its own.
-    both = yt_videos.withColumn("_known", F.lit(True)).join(source, "video_id", "full_outer")
-    joined = stage(both.withColumn("_known", F.coalesce("_known", F.lit(False))), "upsert", partition_by="_known")
+    return _settled(items, order, update_on)
+
+
+def apply_settled(yt_videos: DataFrame, settled: DataFrame, last: Column) -> DataFrame:
+    """The online videos after settled items: known ids changed where the title differs, new ids added with keys after ``last``.
+
+    Either side moves once for each of the two joins; the new ids alone are stored, to be numbered.
+    """
+    source = settled.select("video_id", F.col("title").alias("_title"), F.col("date").alias("_date"), F.col("status").alias("_status"), "renamed")
     takes = F.col("_title").isNotNull() & (F.col("renamed") | ~F.col("_title").eqNullSafe(F.col("title")))
-    known = joined.where(F.col("_known"))
-    kept = _replace(known, yt_videos.columns, {
+    kept = _replace(yt_videos.join(source, "video_id", "left"), yt_videos.columns, {
         "title": F.when(takes, F.col("_title")).otherwise(F.col("title")),
         "publication_date": F.when(takes, F.col("_date")).otherwise(F.col("publication_date")),
         "privacy_status": F.when(takes, F.col("_status")).otherwise(F.col("privacy_status")),
     })
-    fresh = joined.where(~F.col("_known")).select(
+    fresh = source.join(yt_videos.select("video_id"), "video_id", "left_anti").select(
         "video_id",
         F.col("_title").alias("title"),
         F.lit(None).cast("bigint").alias("linked_video"),
         F.col("_date").alias("publication_date"),
         F.col("_status").alias("privacy_status"),
     )
-    added = surrogate_keys(fresh, ["video_id"], next_key(known))
-    return kept.unionByName(added)
+    return kept.unionByName(surrogate_keys(fresh, ["video_id"], last))
+
+
+def upsert_catalogue(yt_videos: DataFrame, items: DataFrame, *, order: Sequence[str] = ("page_no", "item_pos"),
+                     update_on: str = "title") -> DataFrame:
+    """The online videos after a catalogue sync.
+
+    New ids are inserted. A known id takes title, date and status when its title differs, and nothing
+    otherwise; ``update_on='any'`` always takes the last item.
+    """
+    return apply_settled(yt_videos, settled_items(items, order=order, update_on=update_on), next_key(yt_videos))
 
 
 def _single(changes: DataFrame, key: str) -> DataFrame:
-    """The changes with a true ``_hit``; two changes of one key fail the job instead of doubling the row."""
+    """The changes with a true ``_hit``; two changes of one key fail the job instead of doubling the row.
+
+    Rows of a key are counted where they lie sorted for the join that follows, so this moves nothing more.
+    """
     several = F.raise_error(F.concat(F.lit(f"several changes of {key} "), F.col(key).cast("string")))
-    hit = F.when(F.count("*") > 1, several.cast("boolean")).otherwise(F.lit(True)).alias("_hit")
-    return changes.groupBy(key).agg(hit, *[F.first(c).alias(c) for c in changes.columns if c != key])
+    n = F.count("*").over(Window.partitionBy(key))
+    return changes.withColumn("_hit", F.when((n > 1) & F.col(key).isNotNull(), several.cast("boolean")).otherwise(F.lit(True)))
 
 
 def apply_publish_response(yt_videos: DataFrame, responses: DataFrame) -> DataFrame:
@@ -148,11 +157,12 @@ def reset_metadata(recordings: DataFrame, tournaments: DataFrame, team_logos: Da
                    probes: DataFrame) -> DataFrame:
     """The recordings with teams, description and title derived anew.
 
-    ``probes`` holds (video, chapters). A recording without a tournament stays as it is.
+    ``probes`` holds (video, chapters), one per video, or the job fails. A recording without a tournament stays as it is.
     """
     old = {c: F.col(c).alias(f"_old_{c}") for c in ("team1", "team2")}
     named = identify_teams(recordings.select("*", *old.values()), team_logos)
-    df = lookup(with_details(named, tournaments, team_logos), probes, "pk", {"_chapters": "chapters"}, key="video")
+    probed = _single(probes.select("video", "chapters"), "video").where("_hit")
+    df = lookup(with_details(named, tournaments, team_logos), probed, "pk", {"_chapters": "chapters"}, key="video")
     ready = F.col("tournament_name").isNotNull() & F.col("team1_name").isNotNull() & F.col("team2_name").isNotNull()
 
     def when_ready(new: Column, old_value: str) -> Column:
@@ -168,11 +178,12 @@ def reset_metadata(recordings: DataFrame, tournaments: DataFrame, team_logos: Da
 
 def create_recordings(files: DataFrame, recordings: DataFrame, tournaments: DataFrame, team_logos: DataFrame,
                       probes: DataFrame, as_of: Column) -> DataFrame:
-    """Recordings for new files (name, tournament), with new keys. ``probes`` holds (name, tournament, chapters)."""
+    """Recordings for new files (name, tournament), with new keys. ``probes`` holds (name, tournament, chapters), one per file, or the job fails."""
     named = identify_teams(files.select("name", "tournament").distinct(), team_logos)
     details, _ = require_teams_and_tournament(with_details(named, tournaments, team_logos))
-    chapters = probes.select("name", "tournament", F.col("chapters").alias("_chapters"))
-    df = details.join(chapters, ["name", "tournament"], "left")
+    file = F.struct("name", "tournament").alias("_file")
+    probed = _single(probes.select(file, F.col("chapters").alias("_chapters")), "_file").where("_hit").select("_file.*", "_chapters")
+    df = details.join(probed, ["name", "tournament"], "left")
     none = F.lit(None).cast("bigint")
     rows = _replace(df, [c for c in recordings.columns if c != "pk"], {
         "time_code": X.draw_time_code("name", "tournament"),
@@ -240,13 +251,14 @@ def apply_crop_edit(recordings: DataFrame, edits: DataFrame, tournaments: DataFr
     ``edits`` holds pk, text values of the four crop fields, and ``team1`` / ``team2`` keys already
     resolved from their URLs. The crop fields are read in order and the first that is no number ends
     the reading; an absent one keeps its value. ``team2`` is looked at once ``team1`` is resolved. A
-    changed team renews description and title; without a tournament such an edit is refused whole.
+    changed team renews description and title; without a tournament such an edit is refused whole. Two edits of a recording, or
+    two probes, fail the job.
     """
     fields = ["miniature_x_offset", "miniature_y_offset", "miniature_zoom", "time_code"]
     side = edits.select(
         "pk", *[F.col(c).alias(f"_new_{c}") for c in fields], F.col("team1").alias("_new_team1"), F.col("team2").alias("_new_team2")
     )
-    df = recordings.join(side, "pk", "left")
+    df = recordings.join(_single(side, "pk").where("_hit").drop("_hit"), "pk", "left")
     new: dict[str, Column] = {}
     readable = F.lit(True)
     for c in fields:
@@ -262,7 +274,7 @@ def apply_crop_edit(recordings: DataFrame, edits: DataFrame, tournaments: DataFr
         *[(new[c] if c in new else {"team1": team1, "team2": team2}.get(c, F.col(c))).alias(c) for c in recordings.columns],
         changed.alias("_changed"),
     )
-    df = lookup(with_details(df, tournaments, team_logos), probes, "pk", {"_chapters": "chapters"}, key="video")
+    df = lookup(with_details(df, tournaments, team_logos), _single(probes.select("video", "chapters"), "video").where("_hit"), "pk", {"_chapters": "chapters"}, key="video")
     complete = F.col("tournament_name").isNotNull() & F.col("team1_name").isNotNull() & F.col("team2_name").isNotNull()
     renewed = {
         "description": F.when(F.col("_changed"), description_text(F.col("_chapters"))).otherwise(F.col("description")),

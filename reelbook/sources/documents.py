@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelbook.functions import text as X
 from reelbook.schemas import CHAPTER_PROBE, EDIT_DOCUMENT
@@ -12,10 +13,13 @@ from reelbook.schemas import CHAPTER_PROBE, EDIT_DOCUMENT
 def read_edit_documents(spark: SparkSession, folder: str, *, per_file: bool = False) -> DataFrame:
     """Edit documents with the file they came from.
 
-    ``per_file`` reads one indented document per file; otherwise one document per line.
+    ``per_file`` reads one indented document per file; otherwise one document per line, with its name in the line where
+    :func:`write_edit_documents` was given one. See the document store for reading and replacing documents by name.
     """
-    reader = spark.read.schema(EDIT_DOCUMENT).option("multiLine", str(per_file).lower())
-    return reader.json(folder).select(F.col("_metadata.file_name").alias("json_file"), "*")
+    named = T.StructType([T.StructField("json_file", T.StringType()), *EDIT_DOCUMENT.fields])
+    rows = spark.read.schema(named).option("multiLine", str(per_file).lower()).json(folder)
+    name = F.coalesce("json_file", F.col("_metadata.file_name"))
+    return rows.select(name.alias("json_file"), *EDIT_DOCUMENT.fieldNames())
 
 
 def initial_edit_document(source_dir: Column, files: Column, filename: Column) -> Column:
@@ -38,9 +42,10 @@ def initial_edit_document(source_dir: Column, files: Column, filename: Column) -
     )
 
 
-def write_edit_documents(documents: DataFrame, folder: str, *, column: str = "document") -> None:
-    """Write a column of documents as JSON lines."""
-    documents.select(F.to_json(column).alias("value")).write.text(folder)
+def write_edit_documents(documents: DataFrame, folder: str, *, column: str = "document", name: str | None = None) -> None:
+    """Write a column of documents as JSON lines; the column ``name`` goes in front of each as ``json_file``."""
+    whole = F.col(column) if name is None else F.struct(F.col(name).alias("json_file"), F.col(f"{column}.*"))
+    documents.select(F.to_json(whole).alias("value")).write.text(folder)
 
 
 def read_chapter_probes(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,9 @@ writes the same folder again. The online videos are the base snapshot with that
 order, by the same upsert as the batch job, so their cost is paid when they are read or compacted,
 not once per batch. A compacted snapshot keeps the number of the last batch it holds, and only later
 batches apply to it. Log, snapshots and the checkpoint that numbers the batches belong together.
+
+Kept in buckets of the video id, the online videos need not be read or written whole: a sync or a compaction opens the buckets its
+items fall in and leaves the others where they are.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reelbook.operators.changes import upsert_catalogue
+from reelbook.operators.changes import apply_settled, settled_items, upsert_catalogue
 from reelbook.schemas import CATALOGUE_PAGE, ENTITIES
+from reelbook.session import stage
+from reelbook.sources.buckets import BucketTable, Snapshot
 from reelbook.sources.catalogue import catalogue_items
 
 
@@ -72,3 +77,40 @@ def compact_log(yt_videos: DataFrame, log: DataFrame, folder: str, *, update_on:
     applied = max((x for x in (last, after, through) if x is not None), default=-1)
     write_snapshot(current_videos(yt_videos, log, update_on=update_on, after=after), applied, folder)
     return applied
+
+
+# Online videos in buckets -----------------------------------------------------------------------------------------------
+
+
+def video_buckets(spark: SparkSession, root: str) -> BucketTable:
+    """The online videos kept under a folder by the hash of their id."""
+    return BucketTable(spark, root, ENTITIES["yt_videos"], "video_id")
+
+
+def create_video_buckets(table: BucketTable, yt_videos: DataFrame, buckets: int, *, applied: int = -1) -> Snapshot:
+    """First snapshot. It knows the highest key in use and the last batch it holds."""
+    return table.create(yt_videos, buckets, last_pk=yt_videos.agg(F.coalesce(F.max("pk"), F.lit(0))).first()[0], applied=applied)
+
+
+def upsert_buckets(table: BucketTable, snapshot: Snapshot, items: DataFrame, *, order: tuple[str, ...] = ("page_no", "item_pos"),
+                   update_on: str = "title", **properties) -> Snapshot:
+    """The snapshot after a catalogue sync, equal to the upsert of the whole table. Only buckets an item falls in are read and written."""
+    settled = settled_items(items, order=order, update_on=update_on)
+    buckets = table.touched(snapshot, settled)
+    if not buckets:
+        return table.replace(snapshot, table.read(snapshot, []), [], **properties) if properties else snapshot
+    last = snapshot.properties["last_pk"]
+    after = stage(apply_settled(table.read(snapshot, buckets), settled, F.lit(last).cast("bigint")), "upsert")
+    highest = max(last, after.agg(F.max("pk")).first()[0])
+    return table.replace(snapshot, after, buckets, last_pk=highest, **properties)
+
+
+def compact_into_buckets(table: BucketTable, snapshot: Snapshot, log: DataFrame, *, through: int | None = None, update_on: str = "title") -> Snapshot:
+    """The snapshot after the batches of the log it does not hold yet, up to ``through`` if given."""
+    log = log.where(F.col("batch") > snapshot.properties["applied"])
+    if through is not None:
+        log = log.where(F.col("batch") <= through)
+    last = log.agg(F.max("batch")).first()[0]
+    if last is None:
+        return snapshot
+    return upsert_buckets(table, snapshot, log, order=("batch", "page_no", "item_pos"), update_on=update_on, applied=last)

@@ -125,6 +125,24 @@ def stream_catalogue_upsert(t: Tables):
     return upsert.current_videos(t["yt_videos"], upsert.read_log(t.spark, log))
 
 
+@query("upsert_catalogue_buckets", f"with {_SETTLED} select {_YT} from upserted")
+def upsert_catalogue_buckets(t: Tables):
+    """Upsert of online videos kept in buckets, read back from the snapshot it leaves."""
+    videos = upsert.video_buckets(t.spark, new_folder(t.spark, "video-buckets"))
+    first = upsert.create_video_buckets(videos, t["yt_videos"], 16)
+    return videos.read(upsert.upsert_buckets(videos, first, t["items"]))
+
+
+@query("stream_catalogue_buckets", f"with {_SETTLED} select {_YT} from upserted")
+def stream_catalogue_buckets(t: Tables):
+    """Landed pages streamed into the item log, which is compacted into the buckets of the online videos."""
+    videos = upsert.video_buckets(t.spark, new_folder(t.spark, "video-buckets"))
+    first = upsert.create_video_buckets(videos, t["yt_videos"], 16)
+    log = new_folder(t.spark, "log")
+    upsert.stream_catalogue_upsert(upsert.read_page_stream(t.spark, land_pages(t)), log, new_folder(t.spark, "stream")).awaitTermination()
+    return videos.read(upsert.compact_into_buckets(videos, first, upsert.read_log(t.spark, log)))
+
+
 _RELINKED = "select y.pk, y.title, y.video_id, {link} as linked_video, y.publication_date, y.privacy_status from {{yt_videos}} y join ({links}) r on r.pk = y.pk"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelbook.operators.describe import group_recording_parts
 from reelbook.schemas import ENTITIES
 from reelbook.session import new_folder
-from reelbook.sources import catalogue, documents, entities, files
+from reelbook.sources import catalogue, document_store, documents, entities, files
 from workload.fixtures import Tables
 from workload.registry import query
 
@@ -132,6 +132,42 @@ def write_edit_documents(t: Tables):
     return lines.groupBy(F.get_json_object("value", "$.filename").alias("filename")).agg(F.count("*").alias("n_documents"))
 
 
+_DOCUMENT_SQL = """
+    concat('{"team1":"Team1","team2":"Team2","dir":"', t.source_dir, '","files":["GX01', lpad(g.source_name, 4, '0'),
+           '.MP4"],"filename":"VID00', g.source_name, '.json","verified":false,"training":true,"labeled":true,"rendered_file":false,',
+           '"game_mode":"","cuts":[],"Warnings":[]}')"""
+
+
+def _stored_documents(t: Tables):
+    """A store with the edit documents of two games in three, and its first snapshot."""
+    games = t["games"].where("pk % 3 <> 0").join(t["tournaments"].select(F.col("pk").alias("tournament"), "source_dir"), "tournament")
+    file = F.concat(F.lit("GX01"), F.lpad("source_name", 4, "0"), F.lit(".MP4"))
+    document = documents.initial_edit_document(F.col("source_dir"), F.array(file), F.concat(F.lit("VID00"), "source_name", F.lit(".json")))
+    store = document_store.document_store(t.spark, new_folder(t.spark, "documents"))
+    return store, document_store.create_documents(store, document_store.as_rows(games.select("json_file", document.alias("document"))), buckets=16)
+
+
+@query("documents_of_games", f"""
+    select g.pk, g.json_file, case when g.pk % 3 <> 0 then {_DOCUMENT_SQL} end as document
+    from {{games}} g join {{tournaments}} t on t.pk = g.tournament""")
+def documents_of_games(t: Tables):
+    """The whole edit document of every game, by the file its row names."""
+    store, snapshot = _stored_documents(t)
+    return document_store.documents_of_games(store, snapshot, t["games"])
+
+
+@query("set_documents_of_games", f"""
+    select g.json_file, case when g.pk % 5 = 0 then concat('{{"team1":"A","note":"', cast(g.pk as string), '","cuts":[1,{{"x":null}}]}}')
+                             else {_DOCUMENT_SQL} end as document
+    from {{games}} g join {{tournaments}} t on t.pk = g.tournament where g.pk % 3 <> 0 or g.pk % 5 = 0""")
+def set_documents_of_games(t: Tables):
+    """All documents after those of every fifth game were replaced or added, fields the library does not know included."""
+    store, snapshot = _stored_documents(t)
+    text = F.concat(F.lit('{"team1":"A","note":"'), F.col("pk").cast("string"), F.lit('","cuts":[1,{"x":null}]}'))
+    changed = t["games"].where("pk % 5 = 0").select("pk", text.alias("document"))
+    return store.read(document_store.set_documents_of_games(store, snapshot, t["games"], changed))
+
+
 @query("ingest_chapters", """
     select video, position,
            concat(case when m < 100 then lpad(cast(m as string), 2, '0') else cast(m as string) end, ':', lpad(cast(s % 60 as string), 2, '0')) as start,
