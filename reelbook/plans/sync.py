@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from reelbook.operators.changes import create_recordings, upsert_catalogue
 from reelbook.operators.joins import new_recordings
 from reelbook.operators.linking import link_exact, relink_apply
+from reelbook.operators.links import apply_links, with_recordings
 from reelbook.operators.listings import order_by_name
+from reelbook.session import stage
 from reelbook.sources.files import list_video_files
 
 
@@ -23,6 +25,15 @@ class FolderSync:
     created: DataFrame
     relink: Callable[[DataFrame], DataFrame]
 
+    def relink_kept(self, yt_videos: DataFrame, links: DataFrame, *, scope: str = "all") -> tuple[DataFrame, DataFrame]:
+        """The online videos linked again, and the table of links as it is afterwards.
+
+        ``links`` holds for the titles of the online videos what the recordings before the sync gave (see
+        :mod:`reelbook.operators.links`); only names of recordings made by the sync are read.
+        """
+        after = stage(with_recordings(links, self.created), "title-links")
+        return apply_links(yt_videos, after, scope=scope), after
+
     def listing(self) -> DataFrame:
         """The recordings in name order."""
         return order_by_name(self.recordings)

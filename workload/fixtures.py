@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelbook.operators.describe import chapter_probes
+from reelbook.operators.links import title_links
 from reelbook.schemas import ENTITIES
-from reelbook.session import configure, new_folder
+from reelbook.session import configure, new_folder, stage
 
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -230,6 +231,7 @@ class Tables:
         for name in DERIVED:
             self[name].write.parquet(f"{folder}/{name}")
             self._made[name] = self.spark.read.parquet(f"{folder}/{name}")
+        self.title_links.count()
         return self
 
     @property
@@ -237,6 +239,11 @@ class Tables:
         """The eight catalogue tables."""
         return {name: self[name] for name in ENTITIES}
 
+    @cached_property
+    def title_links(self) -> DataFrame:
+        """Link of every title before any change, stored: pattern, recording."""
+        return stage(title_links(self["yt_videos"], self["video_metadata"]), "title-links")
+
     @cached_property
     def probes(self) -> DataFrame:
         """Chapter arrays per recording: video, chapters."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbook.operators import changes, claims, linking
+from reelbook.operators import changes, claims, linking, links
 from reelbook.operators.describe import group_recording_parts
 from reelbook.operators.joins import resolve_entity_url
 from reelbook.plans import sync
@@ -58,15 +58,47 @@ def sync_recordings_listing(t: Tables):
     return _synced(t).listing().select("pk", "name", "tournament", "video_name")
 
 
-@query("sync_recordings_links", _CREATED + """,
+_LINKED_AGAIN = _CREATED + """,
     everything as (select pk, name, video_name from {video_metadata} union all select pk, name, video_name from created)
     select y.pk, min(v.pk) as linked_video from {yt_videos} y left join everything v
-      on contains(lower(v.name), lower(y.title)) or contains(lower(v.video_name), lower(y.title)) group by y.pk""")
+      on contains(lower(v.name), lower(y.title)) or contains(lower(v.video_name), lower(y.title)) group by y.pk"""
+
+
+@query("sync_recordings_links", _LINKED_AGAIN)
 def sync_recordings_links(t: Tables):
-    """Online videos linked again after a folder sync."""
+    """Online videos linked again after a folder sync, from the kept links and the new recordings."""
+    return _synced(t).relink_kept(t["yt_videos"], t.title_links)[0].select("pk", "linked_video")
+
+
+@query("sync_recordings_relinked", _LINKED_AGAIN)
+def sync_recordings_relinked(t: Tables):
+    """Online videos linked again after a folder sync, all titles compared with all recordings."""
     return _synced(t).relink(t["yt_videos"]).select("pk", "linked_video")
 
 
+_LINKS_OF = """
+    select y.pk, min(v.pk) as linked_video from {videos} y left join {recordings} v
+      on contains(lower(v.name), lower(y.title)) or contains(lower(v.video_name), lower(y.title)) group by y.pk"""
+
+
+@query("links_after_deletion", _LINKS_OF.format(
+    videos="{yt_videos}", recordings="(select * from {video_metadata} where pk not in (select pk from {gone_video_metadata}))"))
+def links_after_deletion(t: Tables):
+    """Links kept up when recordings are deleted: only titles that linked to one are looked up."""
+    left = t["video_metadata"].join(t["gone_video_metadata"], "pk", "left_anti")
+    kept = links.without_recordings(t.title_links, t["gone_video_metadata"], left)
+    return links.apply_links(t["yt_videos"], kept).select("pk", "linked_video")
+
+
+@query("links_after_patch", _LINKS_OF.format(videos="{yt_videos}", recordings="""(
+    select v.pk, v.name, coalesce(p.video_name, v.video_name) as video_name from {video_metadata} v left join {patches} p on p.pk = v.pk)"""))
+def links_after_patch(t: Tables):
+    """Links kept up when recordings get other titles."""
+    table = changes.apply_patch(t["video_metadata"], t["patches"], ["video_name"])
+    renamed = table.join(t["patches"].where("video_name is not null").select("pk"), "pk", "left_semi")
+    return links.apply_links(t["yt_videos"], links.with_renamed(t.title_links, renamed, table)).select("pk", "linked_video")
+
+
 # --- online catalogue -------------------------------------------------------------------------
 
 _YT = "pk, title, video_id, linked_video, publication_date, privacy_status"
@@ -125,6 +157,13 @@ def stream_catalogue_upsert(t: Tables):
     return upsert.current_videos(t["yt_videos"], upsert.read_log(t.spark, log))
 
 
+@query("links_after_upsert", f"with {_SETTLED}" + _LINKS_OF.format(videos="upserted", recordings="{video_metadata}"))
+def links_after_upsert(t: Tables):
+    """Links kept up when a catalogue sync brings new titles: only those are looked up."""
+    table = changes.upsert_catalogue(t["yt_videos"], t["items"])
+    return links.apply_links(table, links.with_titles(t.title_links, table, t["video_metadata"])).select("pk", "linked_video")
+
+
 @query("upsert_catalogue_buckets", f"with {_SETTLED} select {_YT} from upserted")
 def upsert_catalogue_buckets(t: Tables):
     """Upsert of online videos kept in buckets, read back from the snapshot it leaves."""
