@@ -25,23 +25,48 @@ def mmss(seconds: Column | str) -> Column:
 
 
 @cache
-def _accents() -> tuple[str, str]:
-    """Characters whose compatibility form is one ASCII character, and that character."""
-    plain = {}
-    for point in range(0x80, 0x10000):
-        if 0xD800 <= point <= 0xDFFF:
-            continue
+def _folds() -> dict[str, str]:
+    """Characters below 0x10000 with their compatibility form in ASCII, several letters for ligatures, fractions and the like."""
+    found = {}
+    for point in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
         folded = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
-        if len(folded) == 1:
-            plain[chr(point)] = folded
-    return "".join(plain), "".join(plain.values())
+        if folded:
+            found[chr(point)] = folded
+    return found
+
+
+@cache
+def _fold_tables() -> tuple[str, list[tuple[str, str]]]:
+    """Characters that become several letters; per place of a letter, all characters and the letters they have there."""
+    folds = sorted(_folds().items(), key=lambda x: -len(x[1]))
+    tables = []
+    for i in range(len(folds[0][1])):
+        # Those without a letter at this place stand last, where they are mapped to nothing.
+        long = [(c, f[i]) for c, f in folds if len(f) > i]
+        none = "".join(c for c, f in folds if 1 < len(f) <= i)
+        tables.append(("".join(c for c, _ in long) + none, "".join(f for _, f in long)))
+    return "".join(c for c, f in folds if len(f) > 1), tables
+
+
+def ascii_folded(text: Column | str) -> Column:
+    """Text with every character below 0x10000 replaced by its compatibility form; what then is not ASCII is dropped."""
+    text = _c(text)
+    several, tables = _fold_tables()
+    members = F.lit(several)
+
+    def spelled(c: Column) -> Column:
+        return F.when(F.instr(members, c) > 0, F.concat(*[F.translate(c, *t) for t in tables])).otherwise(F.translate(c, *tables[0]))
+
+    # Texts of plain characters and accents, nearly all, are folded as a whole.
+    letters = F.array_join(F.transform(F.split(text, ""), spelled), "")
+    folded = F.when(text.rlike(f"[{several}]"), letters).otherwise(F.translate(text, *tables[0]))
+    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
 
 
 def slugify(text: Column | str) -> Column:
-    """Lower-case ASCII slug. Ligatures and fractions (several letters each) are dropped."""
-    folded = F.translate(_c(text), *_accents())
-    kept = F.regexp_replace(F.lower(F.regexp_replace(folded, r"[^\x00-\x7F]", "")), r"[^a-z0-9_\s-]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
+    """Lower-case ASCII slug; characters with a compatibility form, such as accents, ligatures and fractions, are spelled out."""
+    kept = F.regexp_replace(F.lower(ascii_folded(text)), r"[^a-z0-9_\s\x1c-\x1f-]", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"[-\s\x1c-\x1f]+", "-"), r"^[-_]+|[-_]+$", "")
 
 
 def drop_ext4(text: Column | str) -> Column:

@@ -318,36 +318,56 @@ def generate_games(grouped: DataFrame, games: DataFrame, tournaments: DataFrame)
 # --- deletion ---------------------------------------------------------------------------------
 
 
+def gone_keys(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Keys of all rows that go when the given ones do (table -> pk rows), each set stored once.
+
+    Level by level along the foreign keys: rows that go with a row they refer to, and the thumbnail images of recordings.
+    """
+    gone = {name: stage(keys.select("pk").where(F.col("pk").isNotNull()).distinct(), "gone") for name, keys in deleted.items()}
+    fresh = dict(gone)
+    while fresh:
+        also: dict[str, list[DataFrame]] = {}
+        for entity, keys in C.FOREIGN_KEYS.items():
+            for fk, target, action in keys:
+                if action == "cascade" and target in fresh:
+                    also.setdefault(entity, []).append(tables[entity].join(fresh[target].select(F.col("pk").alias(fk)), fk, "left_semi").select("pk"))
+        if "video_metadata" in fresh:
+            shown = tables["video_metadata"].join(fresh["video_metadata"], "pk", "left_semi").select(F.col("miniature_image").alias("pk"))
+            also.setdefault("tmp_images", []).append(shown.where(F.col("pk").isNotNull()))
+        fresh = {}
+        for entity, parts in also.items():
+            keys = reduce(DataFrame.unionByName, parts).distinct()
+            fresh[entity] = stage(keys if entity not in gone else keys.join(gone[entity], "pk", "left_anti"), "gone")
+            gone[entity] = fresh[entity] if entity not in gone else gone[entity].unionByName(fresh[entity])
+    return gone
+
+
+def without_references(table: DataFrame, references: list[tuple[str, str]], gone: dict[str, DataFrame]) -> DataFrame:
+    """A table whose references (foreign key, table) to rows that go are null.
+
+    All foreign keys of a row are looked up at once, as rows of (table, key); the table itself moves once at most, to meet the few
+    rows that have such a reference.
+    """
+    keys = reduce(DataFrame.unionByName, [gone[target].select(F.lit(target).alias("_target"), F.col("pk").alias("_key")) for target in dict.fromkeys(t for _, t in references)])
+    entries = F.array(*[F.struct(F.lit(target).alias("_target"), F.col(fk).cast("bigint").alias("_key"), F.lit(fk).alias("_fk")) for fk, target in references])
+    held = table.select("pk", F.explode(entries).alias("_e")).select("pk", "_e.*").where(F.col("_key").isNotNull())
+    hit = held.join(keys, ["_target", "_key"], "left_semi").groupBy("pk").agg(F.collect_set("_fk").alias("_lost"))
+    lost = F.coalesce("_lost", F.array().cast("array<string>"))
+    return _replace(table.join(hit, "pk", "left"), table.columns, {fk: F.when(~F.array_contains(lost, fk), F.col(fk)) for fk, _ in references})
+
+
 def delete_cascade(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables after deleting the given keys (table -> pk rows), and the paths of files to remove.
 
     Games go with their tournament and a recording takes its thumbnail image along. Other references
     become null, except a team's logo, which is left as it is.
     """
-    gone = {name: keys.select("pk") for name, keys in deleted.items()}
-
-    def also(name: str, keys: DataFrame) -> None:
-        keys = keys.where(F.col("pk").isNotNull())
-        gone[name] = gone[name].unionByName(keys) if name in gone else keys
-
-    for entity, keys in C.FOREIGN_KEYS.items():
-        for fk, target, action in keys:
-            if action == "cascade" and target in gone:
-                hit = tables[entity].join(gone[target].select(F.col("pk").alias(fk)), fk, "left_semi")
-                also(entity, hit.select("pk"))
-    if "video_metadata" in gone:
-        hit = tables["video_metadata"].join(gone["video_metadata"], "pk", "left_semi")
-        also("tmp_images", hit.select(F.col("miniature_image").alias("pk")))
-    gone = {name: keys.distinct() for name, keys in gone.items()}
-
+    gone = gone_keys(tables, deleted)
     after = {}
     for name, table in tables.items():
         left = table.join(gone[name], "pk", "left_anti").select(table.columns) if name in gone else table
-        for fk, target, action in C.FOREIGN_KEYS.get(name, []):
-            if action == "null" and target in gone:
-                marked = lookup(left, gone[target], fk, {"_hit": "pk"})
-                left = _replace(marked, table.columns, {fk: F.when(F.col("_hit").isNull(), F.col(fk))})
-        after[name] = left
+        references = [(fk, target) for fk, target, action in C.FOREIGN_KEYS.get(name, []) if action == "null" and target in gone]
+        after[name] = without_references(left, references, gone) if references else left
     images = tables["tmp_images"]
     paths = (
         images.join(gone["tmp_images"], "pk", "left_semi") if "tmp_images" in gone else images.where(F.lit(False))

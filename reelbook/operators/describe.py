@@ -13,10 +13,10 @@ from reelbook.operators.numbering import number_within
 def number_chapters(chapters: DataFrame, *, group: str = "video", start: str = "start_time") -> DataFrame:
     """Chapters of a table numbered from 1 in time order within each recording.
 
-    Ten-minute slices keep the work even when one recording has most of the chapters.
+    Slices of the chapters by measured ranges keep the work even when one recording has most of them, at whatever times.
     """
     timed = chapters.withColumn("_seconds", F.col(start).cast("double"))
-    return number_within(timed, [group], "_seconds", 600.0, ties=[start]).drop("_seconds")
+    return number_within(timed, [group], "_seconds", ties=[start]).drop("_seconds")
 
 
 def chapter_probes(chapters: DataFrame, *, group: str = "video") -> DataFrame:

@@ -20,9 +20,17 @@ def _shift(slices: DataFrame, group: list[str]) -> DataFrame:
     return counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
 
-def number_within(df: DataFrame, group: list[str], order: str, width: float, *, ties: list[str] = (),
+def number_within(df: DataFrame, group: list[str], order: str, width: float | None = None, *, ties: list[str] = (),
                   alias: str = "position") -> DataFrame:
-    """Number the rows of each group from 1 by a numeric column; a slice spans ``width`` of its values."""
+    """Number the rows of each group from 1 by a column.
+
+    Slices are ranges of (group, value) as Spark measures them, so they hold about equally many rows however the values lie. With
+    ``width`` they span that much of a numeric column, which needs no stored copy of the rows.
+    """
+    if width is None:
+        keyed = df.withColumn("_group", F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]))
+        placed = sums_before(keyed, ["_group"], [order, *ties], {"_before": F.lit(1)}, "numbered")
+        return placed.select(*df.columns, (F.col("_before") + 1).cast("bigint").alias(alias))
     # Structs with equal nulls are equal, so null keys and values are numbered too, and window and join share one partitioning.
     whole = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])
     cut = df.withColumn("_place", F.struct(whole.alias("group"), F.floor(F.col(order) / F.lit(width)).alias("slice")))
@@ -55,7 +63,7 @@ def surrogate_keys(df: DataFrame, natural_key: list[str], start: Column, *, digi
     )
 
 
-def paged(df: DataFrame, group: str, pk: str, size: int, *, width: int = 100_000) -> DataFrame:
+def paged(df: DataFrame, group: str, pk: str, size: int, *, width: int | None = None) -> DataFrame:
     """Add ``page`` (from 0): rows of a group in pk order, ``size`` to a page."""
     numbered = number_within(df, [group], pk, width, alias="_position")
     page = F.floor((F.col("_position") - 1) / F.lit(size)).cast("bigint")

@@ -43,13 +43,16 @@ def validate_entities(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Foreign keys that point to no row: entity, field, pk, missing_key."""
-    reports = []
+    """Foreign keys that point to no row: entity, field, pk, missing_key.
+
+    All foreign keys of all tables, as rows of (table, key), meet all keys in one join.
+    """
+    held, targets = [], {}
     for entity, keys in C.FOREIGN_KEYS.items():
-        for fk, target, _ in keys:
-            held = tables[entity].where(F.col(fk).isNotNull())
-            left = held.join(tables[target].select(F.col("pk").alias(fk)), fk, "left_anti")
-            reports.append(
-                left.select(F.lit(entity).alias("entity"), F.lit(fk).alias("field"), "pk", F.col(fk).alias("missing_key"))
-            )
-    return reduce(DataFrame.unionByName, reports)
+        entries = F.array(*[F.struct(F.lit(fk).alias("field"), F.lit(target).alias("_target"), F.col(fk).cast("bigint").alias("missing_key")) for fk, target, _ in keys])
+        held.append(tables[entity].select(F.lit(entity).alias("entity"), "pk", F.explode(entries).alias("_e")).select("entity", "pk", "_e.*"))
+        targets |= {target: tables[target] for _, target, _ in keys}
+    known = [t.select(F.lit(name).alias("_target"), F.col("pk").alias("missing_key")) for name, t in targets.items()]
+    pointing = reduce(DataFrame.unionByName, held).where(F.col("missing_key").isNotNull())
+    left = pointing.join(reduce(DataFrame.unionByName, known), ["_target", "missing_key"], "left_anti")
+    return left.select("entity", "field", "pk", "missing_key")

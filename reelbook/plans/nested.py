@@ -7,8 +7,11 @@ never one huge array. Parents without such rows, and resources without such a re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from reelbook.functions.text import iso_utc
 from reelbook.operators.listings import PUBLIC_FIELDS
@@ -117,17 +120,35 @@ def embed_related(tables: dict[str, DataFrame], entity: str, base: str, *, one:
     return df.select("pk", page.alias("page"), F.col("_resource").alias("resource"), *embedded)
 
 
+def _body(row: Column, fields: list[str]) -> Column:
+    """JSON text of a resource up to its last brace: all fields, null ones too, and the links there are."""
+    plain = F.to_json(F.struct(*[row.getField(c).alias(c) for c in fields if c != "_links"]), {"ignoreNullFields": "false"})
+    return F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"_links":'), F.to_json(row.getField("_links")))
+
+
+def _whole(fields: list[str]) -> Callable[[Column], Column]:
+    """JSON text of a resource without embedded rows."""
+    return lambda row: F.concat(_body(row, fields), F.lit("}"))
+
+
 def hal(tables: dict[str, DataFrame], entity: str, base: str, *, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Resource pages of a table as JSON text: pk, page, body."""
+    """Resource pages of a table as JSON text: pk, page, body. A null field is written, a null link or embedded row is not."""
     rows = embed_related(
         tables, entity, base, one=EMBED_ONE.get(entity), many=EMBED_MANY.get(entity), page_size=page_size
     )
-    names = rows.columns[3:]
-    body = [F.col(f"resource.{c}").alias(c) for c in rows.schema["resource"].dataType.fieldNames()]
-    if names:
-        filled = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)) > 0
-        body.append(F.when(filled, F.struct(*names)).alias("_embedded"))
-    return rows.select("pk", "page", F.to_json(F.struct(*body)).alias("body"))
+    parts = []
+    for name in rows.columns[3:]:
+        kind = rows.schema[name].dataType
+        if isinstance(kind, ArrayType):
+            text = F.concat(F.lit("["), F.array_join(F.transform(name, _whole(kind.elementType.fieldNames())), ","), F.lit("]"))
+        else:
+            text = _whole(kind.fieldNames())(F.col(name))
+        parts.append(F.when(F.col(name).isNotNull(), F.concat(F.lit(f'"{name}":'), text)))
+    body = _body(F.col("resource"), rows.schema["resource"].dataType.fieldNames())
+    if parts:
+        held = F.array_join(F.array_compact(F.array(*parts)), ",")
+        body = F.concat(body, F.when(held != "", F.concat(F.lit(',"_embedded":{'), held, F.lit("}"))).otherwise(""))
+    return rows.select("pk", "page", F.concat(body, F.lit("}")).alias("body"))
 
 
 def collection_items(payloads: DataFrame, *keys: str, payload: str = "payload") -> DataFrame:

@@ -59,7 +59,7 @@ DERIVED = {
                case event_type when 'click' then 'MAN' when 'view' then 'VID' when 'purchase' then 'XML'
                                when 'signup' then 'ML' else 'BAD' end as type_cut,
                concat('cuts/', cast(event_id as string), '.json') as json_file,
-               concat('cut-', cast(event_id as string)) as slug,
+               case when event_id % 17 = 0 then null else concat('cut-', cast(event_id as string)) end as slug,
                case when event_id % 13 = 0 then null else user_id * 2 + 1 end as game
         from {events}""",
     "tmp_images": """
