@@ -57,10 +57,11 @@ def ascii_folded(text: Column | str) -> Column:
     def spelled(c: Column) -> Column:
         return F.when(F.instr(members, c) > 0, F.concat(*[F.translate(c, *t) for t in tables])).otherwise(F.translate(c, *tables[0]))
 
-    # Texts of plain characters and accents, nearly all, are folded as a whole.
+    # Nearly all texts are ASCII already, and nearly all others have accents only: those are folded as a whole.
     letters = F.array_join(F.transform(F.split(text, ""), spelled), "")
-    folded = F.when(text.rlike(f"[{several}]"), letters).otherwise(F.translate(text, *tables[0]))
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    one_each = F.length(F.translate(text, several, "")) == F.length(text)
+    folded = F.when(one_each, F.translate(text, *tables[0])).otherwise(letters)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
 
 
 def slugify(text: Column | str) -> Column:

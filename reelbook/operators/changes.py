@@ -318,13 +318,20 @@ def generate_games(grouped: DataFrame, games: DataFrame, tournaments: DataFrame)
 # --- deletion ---------------------------------------------------------------------------------
 
 
+def _stored_sets(sets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Key sets of several tables, distinct and stored in one go."""
+    named = reduce(DataFrame.unionByName, [keys.select("pk", F.lit(name).alias("_table")) for name, keys in sets.items()])
+    stored = stage(named.where(F.col("pk").isNotNull()).distinct(), "gone", partition_by="_table")
+    return {name: stored.where(F.col("_table") == name).select("pk") for name in sets}
+
+
 def gone_keys(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Keys of all rows that go when the given ones do (table -> pk rows), each set stored once.
+    """Keys of all rows that go when the given ones do (table -> pk rows), each set made once and stored.
 
     Level by level along the foreign keys: rows that go with a row they refer to, and the thumbnail images of recordings.
     """
-    gone = {name: stage(keys.select("pk").where(F.col("pk").isNotNull()).distinct(), "gone") for name, keys in deleted.items()}
-    fresh = dict(gone)
+    fresh = _stored_sets({name: keys.select("pk") for name, keys in deleted.items()}) if deleted else {}
+    gone = dict(fresh)
     while fresh:
         also: dict[str, list[DataFrame]] = {}
         for entity, keys in C.FOREIGN_KEYS.items():
@@ -333,12 +340,10 @@ def gone_keys(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> di
                     also.setdefault(entity, []).append(tables[entity].join(fresh[target].select(F.col("pk").alias(fk)), fk, "left_semi").select("pk"))
         if "video_metadata" in fresh:
             shown = tables["video_metadata"].join(fresh["video_metadata"], "pk", "left_semi").select(F.col("miniature_image").alias("pk"))
-            also.setdefault("tmp_images", []).append(shown.where(F.col("pk").isNotNull()))
-        fresh = {}
-        for entity, parts in also.items():
-            keys = reduce(DataFrame.unionByName, parts).distinct()
-            fresh[entity] = stage(keys if entity not in gone else keys.join(gone[entity], "pk", "left_anti"), "gone")
-            gone[entity] = fresh[entity] if entity not in gone else gone[entity].unionByName(fresh[entity])
+            also.setdefault("tmp_images", []).append(shown)
+        parts = {entity: reduce(DataFrame.unionByName, found) for entity, found in also.items()}
+        fresh = _stored_sets({e: k.join(gone[e], "pk", "left_anti") if e in gone else k for e, k in parts.items()}) if parts else {}
+        gone |= {e: k if e not in gone else gone[e].unionByName(k) for e, k in fresh.items()}
     return gone
 
 

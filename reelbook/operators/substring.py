@@ -7,8 +7,8 @@ where an anchor is known the text yields the candidate strings of the lengths wa
 with the characters of the texts, never with texts times patterns, and no pair that is not a true occurrence reaches a result: a bit
 or a hash set by chance gives a candidate that equals no pattern.
 
-Patterns are staged and measured. Anchors of small ones are broadcast, and places are not moved at all; others are joined by sorting. Anchors
-are unique there, so a common one can only make the side of the places heavy: how often a hash is hit is counted, and hits of a common one are
+Patterns are staged and measured. Anchors of small ones are broadcast themselves in place of the bitmap, and places are not moved at all; others are
+joined by sorting. Anchors are unique there, so a common one can only make the side of the places heavy: how often a hash is hit is counted, and hits of a common one are
 dealt to as many tasks as they fill. (Spark cannot foresee how many places a text has, so no join with them is left to an estimate.)
 """
 
@@ -45,22 +45,19 @@ def _bitmap(anchors: DataFrame) -> Column:
 
 
 def _places(texts: DataFrame, anchors: DataFrame, carry: list[str]) -> DataFrame:
-    """Places of the texts where an anchor may begin: carry, _hash, _span, _at. Reads ``text``; nothing is moved but whole texts."""
+    """All places of the texts with the hash of what begins there: carry, _hash, _span, _at. Reads ``text``; only whole texts move."""
     spans = anchors.agg(F.collect_set("_span").alias("spans"))
     # Every text has many places, which adaptive execution cannot foresee when it merges small
     # partitions; a fixed number of partitions keeps the cutting parallel. (By a hash of the text, as
     # a repartitioning by the text itself would be dropped as done already.)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = (
+    return (
         texts.repartition(parts, F.xxhash64("text")).select(*carry, "text", spans.scalar().alias("_spans"))
         .select(*carry, "text", F.explode("_spans").alias("_span"))
         .where(F.length("text") >= F.col("_span"))
         .select(*carry, "text", "_span", F.explode(F.expr("sequence(1, length(text) - _span + 1)")).alias("_at"))
-        .withColumn("_hash", F.expr("xxhash64(substring(text, _at, _span))"))
+        .select(*carry, F.expr("xxhash64(substring(text, _at, _span))").alias("_hash"), "_span", "_at")
     )
-    place = F.col("_hash").bitwiseAND(F.lit(BITS - 1))
-    word = F.get(_bitmap(anchors), F.shiftright(place, 6).cast("int"))
-    return cut.where(F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1).select(*dict.fromkeys([*carry, "_hash", "_span", "_at"]))
 
 
 def _cut_out(known: DataFrame, carry: list[str]) -> DataFrame:
@@ -72,7 +69,10 @@ def _cut_out(known: DataFrame, carry: list[str]) -> DataFrame:
 
 def hits(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Places of the texts (id, text) whose hash is in the bitmap: _hash, _span, id, _at."""
-    return _places(texts, anchors, ["id"]).select("_hash", "_span", "id", "_at")
+    place = F.col("_hash").bitwiseAND(F.lit(BITS - 1))
+    word = F.get(_bitmap(anchors), F.shiftright(place, 6).cast("int"))
+    found = _places(texts, anchors, ["id"]).where(F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return found.select("_hash", "_span", "id", "_at")
 
 
 def _known(found: DataFrame, anchors: DataFrame, salts: int | None) -> DataFrame:
@@ -92,7 +92,8 @@ def _occurrences(texts: DataFrame, patterns: DataFrame, carry: list[str], small:
     """Rows (carry..., pattern) for every place where a text may hold a pattern. Reads ``text`` and ``pattern``."""
     anchors = _anchors(patterns)
     if small:
-        # There is at most one anchor per pattern, and its row is no longer than a few patterns.
+        # There is at most one anchor per pattern, and its row is no longer than a few patterns. The hash table itself is looked up
+        # where the text is read.
         places = _places(texts, anchors, [*dict.fromkeys([*carry, "text"])])
         return _cut_out(places.join(F.broadcast(anchors), ["_hash", "_span"]), carry)
     anchors = stage(anchors, "anchors")

@@ -29,24 +29,24 @@ def _wanted(team_logos: DataFrame) -> DataFrame:
     return top_rows(spelled, ["pattern"], ["size", "pk"], 2).drop("rank")
 
 
-def _best_two(files: DataFrame, team_logos: DataFrame, name: str) -> DataFrame:
-    """Distinct lower-case file names with their first two logos: text, logos (size, pk) in order."""
+def _best_two(files: DataFrame, team_logos: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """Distinct lower-case file names that mention a logo, with their first two: text, found (size, pk) in order; and a column
+    of the first two for any name, given its ``found``."""
     texts = files.select(F.lower(name).alias("text")).where(F.col("text").isNotNull()).distinct()
     wanted = _wanted(team_logos)
-    found = patterns_in(texts, wanted.where(F.length("pattern") > 0))
-    # A logo found twice, by both spellings or in two places, has one rank.
-    order = Window.partitionBy("text").orderBy("size", "pk")
-    ranked = found.select("text", "size", "pk", F.dense_rank().over(order).alias("_rank")).where(F.col("_rank") <= 2)
+    matches = patterns_in(texts, wanted.where(F.length("pattern") > 0))
     logo = F.struct("size", "pk")
-    best = ranked.groupBy("text").agg(
-        F.min(F.when(F.col("_rank") == 1, logo)).alias("_first"), F.min(F.when(F.col("_rank") == 2, logo)).alias("_second")
-    )
+
+    def first_two(logos: Column) -> Column:
+        return F.slice(F.sort_array(logos), 1, 2)
+
+    # A logo found twice, by both spellings or in two places, counts once. A name mentions two logos for each of its substrings at most.
+    best = matches.groupBy("text").agg(first_two(F.collect_set(logo)).alias("found"))
     # An empty name or abbreviation is part of every file name; at most two of their logos count.
-    always = wanted.where(F.length("pattern") == 0).agg(F.collect_set(logo).alias("logos"))
-    both = F.concat(F.array_compact(F.array("_first", "_second")), F.col("_always"))
-    return texts.join(best, "text", "left").withColumn("_always", always.scalar()).select(
-        "text", F.slice(F.array_sort(F.array_distinct(both)), 1, 2).alias("logos")
-    )
+    empty = team_logos.where((F.col("short_name") == "") | (F.col("name") == "")).select(F.length("short_name").alias("size"), "pk")
+    always = empty.orderBy("size", "pk").limit(2).agg(F.collect_set(logo)).scalar()
+    none = F.array().cast("array<struct<size:int,pk:bigint>>")
+    return best, first_two(F.array_distinct(F.concat(F.coalesce("found", none), F.coalesce(always, none))))
 
 
 def top2_matches(files: DataFrame, team_logos: DataFrame, *, name: str = "name") -> DataFrame:
@@ -54,7 +54,9 @@ def top2_matches(files: DataFrame, team_logos: DataFrame, *, name: str = "name")
 
     Matches are ordered by length of the abbreviation, then pk.
     """
-    rows = _best_two(files, team_logos, name).select("text", F.posexplode("logos").alias("_pos", "_logo"))
+    best, logos = _best_two(files, team_logos, name)
+    texts = files.select(F.lower(name).alias("text")).where(F.col("text").isNotNull()).distinct()
+    rows = texts.join(best, "text", "left").select("text", F.posexplode(logos).alias("_pos", "_logo"))
     return rows.select("text", (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_logo.pk").alias("logo"))
 
 
@@ -63,13 +65,13 @@ def identify_teams(files: DataFrame, team_logos: DataFrame, *, name: str = "name
 
     No match: both are the default. One: it comes first. More: the shortest abbreviation comes second.
     """
-    best = _best_two(files, team_logos, name)
+    best, logos = _best_two(files, team_logos, name)
     kept = [c for c in files.columns if c not in ("team1", "team2")]
-    matched = files.select(*kept, F.lower(name).alias("text")).join(best, "text", "left")
-    entries = defaults_then_matches(F.col("_default"), F.coalesce("logos.pk", F.array().cast("array<bigint>")))
-    return matched.select(*kept, "logos", default_team(team_logos).scalar().alias("_default")).select(
-        *kept, F.element_at(entries, -1).alias("team1"), F.element_at(entries, -2).alias("team2")
-    )
+    # A null name mentions nobody, not even a logo with an empty name.
+    matched = files.select(*kept, F.lower(name).alias("_text")).join(best.withColumnRenamed("text", "_text"), "_text", "left")
+    mentioned = matched.select(*kept, F.when(F.col("_text").isNotNull(), logos).alias("_logos"), default_team(team_logos).scalar().alias("_default"))
+    entries = defaults_then_matches(F.col("_default"), F.coalesce("_logos.pk", F.array().cast("array<bigint>")))
+    return mentioned.select(*kept, F.element_at(entries, -1).alias("team1"), F.element_at(entries, -2).alias("team2"))
 
 
 def defaults_then_matches(default: Column, matches: Column) -> Column:

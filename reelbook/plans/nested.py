@@ -105,7 +105,9 @@ def embed_related(tables: dict[str, DataFrame], entity: str, base: str, *, one:
         name, target, fk = many
         children = tables[target].where(F.col(fk).isNotNull())
         children = children.select("pk", F.col(fk).alias("_parent"), resource(target, base).alias("_child"))
-        pages = paged(children, "_parent", "pk", page_size).groupBy("_parent", "page").agg(
+        # Keys alone are numbered; the rows join them where they are gathered.
+        numbered = paged(children.select("pk", "_parent"), "_parent", "pk", page_size)
+        pages = children.select("pk", "_child").join(numbered, "pk").groupBy("_parent", "page").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("pk", "_child"))), lambda c: c["_child"]).alias("_children")
         )
         parents = children.select(F.col("_parent").alias("pk")).distinct()
@@ -123,7 +125,7 @@ def embed_related(tables: dict[str, DataFrame], entity: str, base: str, *, one:
 def _body(row: Column, fields: list[str]) -> Column:
     """JSON text of a resource up to its last brace: all fields, null ones too, and the links there are."""
     plain = F.to_json(F.struct(*[row.getField(c).alias(c) for c in fields if c != "_links"]), {"ignoreNullFields": "false"})
-    return F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"_links":'), F.to_json(row.getField("_links")))
+    return F.concat(F.rtrim(plain, F.lit("}")), F.lit(',"_links":'), F.to_json(row.getField("_links")))
 
 
 def _whole(fields: list[str]) -> Callable[[Column], Column]:
