@@ -72,12 +72,15 @@ class Mixture:
         later = asked == 0
         ends = np.divide(self.totals, asked, out=np.zeros(len(asked)), where=~later)
         self._start = np.where(later, ends.max(initial=0.0), 0.0)
-        self._weight = np.where(later, self.totals, asked)
+        # The second phase lasts as long as the first, so a token is no finer a step of the clock there than it is here.
+        lasting = ends.max(initial=0.0) or 1.0
+        self._weight = np.where(later, self.totals / lasting, asked)
         # The clock against the tokens given by all queues: between two ends of queues both move evenly.
         end = self._start + np.divide(self.totals, self._weight, out=np.zeros(len(asked)), where=self._weight > 0)
         self._clock = np.unique(np.concatenate([[0.0], self._start, end]))
         self._sum = np.array([np.minimum(self.totals, self._weight * np.maximum(t - self._start, 0.0)).sum() for t in self._clock])
-        due = self._weight * length * window / max(float(asked.sum()) or float(self.all), 1e-300)
+        turns = np.where(later, max(float(self.totals[later].sum()) / lasting, 1e-300), max(float(asked.sum()), 1e-300))
+        due = self._weight * length * window / turns
         self._step = np.where(due < least, least, 1)
         # Rounded pieces of different queues do not fall due at once.
         self._phase = np.floor(self._step * (np.arange(1, len(asked) + 1) * 0.6180339887498949 % 1))
@@ -128,6 +131,8 @@ class Mixture:
                     take = min(stop - at, self.length - p % self.length)
                     one.append((at, take, p))
                     at, p = at + take, p + take
+            if sum(take for _, take, _ in one) != size:
+                raise ArithmeticError(f"pieces of a document of {size} ids at {start} of queue {queue} do not add up to it")
             out.append(one)
         return out
 

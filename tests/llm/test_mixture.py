@@ -78,3 +78,32 @@ def test_small_sources_come_in_pieces_worth_while():
     assert all(n >= 44 for q in range(1, 41) for n in np.diff(given[:, q])[np.diff(given[:, q]) > 0])
     exact = np.arange(plan.windows + 1)[:, None] * np.array(totals) / plan.windows
     assert (abs(given - exact) <= 64).all()
+
+
+def test_no_document_is_lost_at_any_total():
+    """Totals from 1e2 to 1e14 ids, with and without sources of no share."""
+    rnd = np.random.default_rng(0)
+    seen = 0
+    for _ in range(400):
+        k, total = int(rnd.integers(1, 6)), 10 ** rnd.uniform(2, 14)
+        totals = [int(x) for x in rnd.dirichlet(np.ones(k) * rnd.choice([0.3, 1, 5])) * total]
+        plan = packing.Mixture(totals, 4096, 1, list(rnd.choice([0, 0.1, 0.3, 1, 2], k)), 64)
+        for queue in (q for q in range(k) if totals[q]):
+            sizes = [int(min(totals[queue], rnd.integers(1, 20_000))) for _ in range(3)]
+            starts = [0, totals[queue] - sizes[1], int(rnd.integers(0, totals[queue] - sizes[2] + 1))]
+            for size, pieces in zip(sizes, plan.all_pieces(queue, starts, sizes)):
+                ends = [at + take for at, take, _ in pieces]
+                assert [at for at, _, _ in pieces] == [0, *ends[:-1]] and ends[-1] == size
+                seen += 1
+    assert seen > 2000
+
+
+def test_sources_of_no_share_fill_the_line_once():
+    totals = [60_000, 30_000, 10_000, 7_000]
+    plan = packing.Mixture(totals, 512, 1, [0.7, 0.3, 0.0, 0.0], 64)
+    line = np.zeros(sum(totals), int)
+    for queue, total in enumerate(totals):
+        for start in range(0, total, 500):
+            for _, take, place in plan.pieces(queue, start, 500):
+                line[place : place + take] += 1
+    assert (line == 1).all()
