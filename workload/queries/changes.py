@@ -207,16 +207,18 @@ def claim_unlinked(t: Tables):
 
 @query("claim_unlinked_all", """
     with recursive free as (select pk, title from {yt_videos} where linked_video is null),
-    asking as (select v.pk as recording, list(y.pk order by y.pk) as wanted from {video_metadata} v
-               join free y on y.title in (split_part(v.name, '.', 1), v.video_name) group by v.pk),
-    turns as (select *, row_number() over (order by recording) as turn from asking),
-    walk as (select cast(0 as bigint) as turn, cast(null as bigint) as recording, cast(null as bigint) as yt_video, cast([] as bigint[]) as taken
-             union all
-             select turn, recording, yt_video, case when yt_video is null then taken else list_append(taken, yt_video) end as taken from (
-                 select t.turn, t.recording, w.taken, list_filter(t.wanted, lambda x: not list_contains(w.taken, x))[1] as yt_video
-                 from walk w join turns t on t.turn = w.turn + 1))
+    edges as (select v.pk as recording, y.pk as video from {video_metadata} v join free y on y.title = split_part(v.name, '.', 1)
+              union select v.pk, y.pk from {video_metadata} v join free y on y.title = v.video_name),
+    walk as (
+        select recording, video, false as won from edges
+        union all
+        select recording, video, won from (
+            select *, bool_or(won) over (partition by recording) as served, bool_or(won) over (partition by video) as taken from (
+                select recording, video, min(video) over (partition by recording) = video and min(recording) over (partition by video) = recording as won
+                from walk where not won))
+        where won or not (served or taken))
     select y.pk, y.video_id, coalesce(y.linked_video, w.recording) as linked_video from {yt_videos} y
-    left join (select recording, yt_video from walk where yt_video is not null) w on w.yt_video = y.pk""")
+    left join (select * from walk where won) w on w.video = y.pk""")
 def claim_unlinked_all(t: Tables):
     """All recordings claim one after the other."""
     return claims.claim_all(t["yt_videos"], t["video_metadata"]).select("pk", "video_id", "linked_video")
