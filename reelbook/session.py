@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +53,39 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder(spark.sparkContext.applicationId)
 
 
+#: Folders handed out, by application, oldest first.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder nobody has used yet, below the shared folder."""
-    return f"{shared_folder(spark)}/reelbook/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/reelbook/{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def drop_staged(spark: SparkSession, *, since: int = 0) -> int:
+    """Remove the folders this application has been handed out, or those after the first ``since``; how many were there.
+
+    Frames read from them cannot be computed any more, so results are written before.
+    """
+    mine = _HANDED_OUT.get(spark.sparkContext.applicationId, [])
+    dropped, mine[since:] = mine[since:], []
+    found = 0
+    for folder in dropped:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Folders handed out inside are removed at the end, also after an error. Results leave the block written, not as frames."""
+    since = len(_HANDED_OUT.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_staged(spark, since=since)
 
 
 def stage(df: DataFrame, label: str, *, partition_by: str | None = None) -> DataFrame:
