@@ -14,8 +14,9 @@ def number_chapters(chapters: DataFrame, *, group: str = "video", start: str = "
     """Chapters of a table numbered from 1 in time order within each recording.
 
     Slices of the chapters by measured ranges keep the work even when one recording has most of them, at whatever times.
+    Chapters whose start is no number come first.
     """
-    timed = chapters.withColumn("_seconds", F.col(start).cast("double"))
+    timed = chapters.withColumn("_seconds", F.col(start).try_cast("double"))
     return number_within(timed, [group], "_seconds", ties=[start]).drop("_seconds")
 
 
@@ -72,6 +73,21 @@ def description_lines(details: DataFrame, chapters: DataFrame) -> DataFrame:
     ))
 
 
+def description_parts(details: DataFrame, chapters: DataFrame, *, size: int = 1000) -> DataFrame:
+    """Descriptions in parts of ``size`` lines: pk, part from 0, n_lines, unreadable, text.
+
+    The texts of a recording's parts in order, joined by newlines, are its description. ``unreadable`` counts the chapters of a part whose
+    start is no number: they have a position but no line in the text. No task gathers more than ``size`` lines of a recording.
+    """
+    part = F.floor((F.col("line_no") - 1) / F.lit(size)).cast("bigint").alias("part")
+    lines = description_lines(details, chapters).select("pk", part, "line_no", "line")
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("pk", "part").agg(
+        F.count("*").alias("n_lines"), F.count(F.when(F.col("line").isNull(), 1)).alias("unreadable"),
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"),
+    )
+
+
 def metadata_public_view(details: DataFrame) -> DataFrame:
     """Public metadata of recordings with both teams: pk, vid_name (null without tournament), description, pub_date."""
     return details.where(F.col("team1_name").isNotNull() & F.col("team2_name").isNotNull()).select(

@@ -20,6 +20,20 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def inventory_changes(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """What an inventory (dir, name, length, modificationTime) has that an earlier one has not: dir, name, length, modificationTime, status.
+
+    ``status`` is ``new``, ``changed`` (another length or time) or ``gone``; a file that is gone has no length and time. Inventories hold a
+    file once and may come from a store's own reports, so that no folder has to be listed from one place.
+    """
+    keys = ["dir", "name"]
+    before = known.select(*keys, F.col("length").alias("_length"), F.col("modificationTime").alias("_time"), F.lit(True).alias("_known"))
+    both = listed.select(*keys, "length", "modificationTime", F.lit(True).alias("_listed")).join(before, keys, "full_outer")
+    moved = ~F.col("length").eqNullSafe(F.col("_length")) | ~F.col("modificationTime").eqNullSafe(F.col("_time"))
+    status = F.when(F.col("_known").isNull(), "new").when(F.col("_listed").isNull(), "gone").when(moved, "changed")
+    return both.select(*keys, "length", "modificationTime", status.alias("status")).where(F.col("status").isNotNull())
+
+
 def list_video_files(files: DataFrame) -> DataFrame:
     """Files whose suffix marks a recording; the set of suffixes is case-sensitive.
 

@@ -8,9 +8,11 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from reelbook.functions import text as X
-from reelbook.operators import changes, numbering, quality
+from reelbook.operators import changes, describe, numbering, quality
 from reelbook.plans import nested
-from tests.helpers import final_plan, rows
+from reelbook.session import stage
+from reelbook.sources import files
+from tests.helpers import final_plan, rows, ts
 from tests.test_rules import entities
 
 
@@ -88,3 +90,27 @@ def test_numbering_spreads_a_group_of_any_values(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     ranges = df.repartitionByRange(4, "g", "v").select("g", F.spark_partition_id().alias("r")).groupBy("r").count()
     assert max(r["count"] for r in ranges.collect()) < 2000
+
+
+def test_a_recording_with_a_million_chapters(spark):
+    """Text and lines agree, no part is longer than asked, and a start that is no number is counted."""
+    details = spark.createDataFrame([(1, "A", "B", None, "", ""), (2, "C", "D", None, "", "")], "pk long, team1_name string, team2_name string, tournament_date date, tournament_tugeny_link string, tournament_JTR string")
+    many = spark.range(1_000_000).select(F.lit(1).cast("long").alias("video"), (F.col("id") * 2).cast("string").alias("start_time"))
+    few = spark.createDataFrame([(2, "5"), (2, "soon"), (2, "65.5")], "video long, start_time string")
+    parts = stage(describe.description_parts(details, many.unionByName(few).withColumn("end_time", F.lit("")), size=1000), "parts")
+    assert parts.where("pk = 1").agg(F.sum("n_lines"), F.max("n_lines"), F.count("*"), F.sum("unreadable")).first() == (1_000_007, 1000, 1001, 0)
+    lines = parts.where("pk = 1 and part = 500").first()["text"].split("\n")
+    first = 500 * 1000 - 7 + 1  # seven lines stand above the chapters
+    assert lines == [f"{(n - 1) * 2 // 60:02}:{(n - 1) * 2 % 60:02} Point {n}" for n in range(first, first + 1000)]
+    assert rows(parts.where("pk = 2"), "part", "n_lines", "unreadable") == [(0, 10, 1)]
+    assert parts.where("pk = 2").first()["text"].split("\n")[-2:] == ["00:05 Point 2", "01:05 Point 3"]
+
+
+def test_inventories_are_compared_by_path_length_and_time(spark):
+    schema = "dir string, name string, length long, modificationTime timestamp_ntz"
+    day, later = ts("2024-01-01"), ts("2024-01-02")
+    known = spark.createDataFrame([("/a/", "same", 1, day), ("/a/", "longer", 1, day), ("/a/", "later", 1, day), ("/a/", "gone", 1, day), ("/b/", "x", None, None)], schema)
+    listed = spark.createDataFrame([("/a/", "same", 1, day), ("/a/", "longer", 2, day), ("/a/", "later", 1, later), ("/b/", "gone", 1, day), ("/b/", "x", None, None)], schema)
+    assert rows(files.inventory_changes(listed, known), "dir", "name", "status", "length") == [
+        ("/a/", "gone", "gone", None), ("/a/", "later", "changed", 1), ("/a/", "longer", "changed", 2), ("/b/", "gone", "new", 1)]
+    assert rows(files.inventory_changes(listed, listed)) == []

@@ -71,6 +71,18 @@ def description_lines(t: Tables):
     return describe.description_lines(details, t["chapters"])
 
 
+@query("description_parts", f"""
+    select pk, part, count(*) as n_lines, cast(0 as bigint) as unreadable, string_agg(line, chr(10) order by line_no) as text from (
+        select pk, line_no, line, cast((line_no - 1) // 10 as bigint) as part from (
+            select pk, unnest(range(1, len(lines) + 1)) as line_no, unnest(lines) as line
+            from (select pk, string_split(new_description, chr(10)) as lines from ({described(_OWN_TEAMS, 'pk')}))))
+    group by pk, part""")
+def description_parts(t: Tables):
+    """Descriptions in parts of ten lines, from the chapter table."""
+    details, _ = describe.require_teams_and_tournament(changes.with_details(t["video_metadata"], t["tournaments"], t["team_logos"]))
+    return describe.description_parts(details, t["chapters"], size=10)
+
+
 @query("duplicate_keys", """
     select name, tournament, count(*) as n_rows from (
         select name, tournament from {video_metadata} union all select name, tournament from {video_files})

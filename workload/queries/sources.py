@@ -132,6 +132,24 @@ def write_edit_documents(t: Tables):
     return lines.groupBy(F.get_json_object("value", "$.filename").alias("filename")).agg(F.count("*").alias("n_documents"))
 
 
+_LISTED = "select dir, name, video * 100 as length, TS'2024-01-01 10:00:00' as modificationTime from {video_files} where video % 13 <> 0"
+_KNOWN = """select dir, name, video * 100 + case when video % 7 = 0 then 1 else 0 end as length,
+    case when video % 5 = 1 then TS'2023-01-01 10:00:00' else TS'2024-01-01 10:00:00' end as modificationTime from {video_files} where video % 11 <> 0"""
+
+
+@query("inventory_changes", f"""
+    select coalesce(l.dir, k.dir) as dir, coalesce(l.name, k.name) as name, l.length, l.modificationTime,
+           case when k.dir is null then 'new' when l.dir is null then 'gone' else 'changed' end as status
+    from ({_LISTED}) l full join ({_KNOWN}) k on k.dir = l.dir and k.name = l.name
+    where k.dir is null or l.dir is null or k.length <> l.length or k.modificationTime <> l.modificationTime""")
+def inventory_changes(t: Tables):
+    """Files that are new, changed or gone since an earlier inventory."""
+    def inventory(text: str) -> DataFrame:
+        return t.spark.sql(text.replace("TS'", "timestamp_ntz '"), video_files=t["video_files"])
+
+    return files.inventory_changes(inventory(_LISTED), inventory(_KNOWN))
+
+
 _DOCUMENT_SQL = """
     concat('{"team1":"Team1","team2":"Team2","dir":"', t.source_dir, '","files":["GX01', lpad(g.source_name, 4, '0'),
            '.MP4"],"filename":"VID00', g.source_name, '.json","verified":false,"training":true,"labeled":true,"rendered_file":false,',
