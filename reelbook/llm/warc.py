@@ -96,17 +96,22 @@ def headers_of(head: bytes) -> list[tuple[str, str]]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """Uncompressed pieces of a gzip file of one or more members, inflated once from front to end."""
-    engine = zlib.decompressobj(31)
+    """Uncompressed pieces of a gzip file of one or more members, inflated once from front to end.
+
+    Fails unless the last member ends with its checksum, so a file cut at a flush, in its trailer or to nothing is not taken for whole.
+    """
+    engine, whole = zlib.decompressobj(31), False
     data = source.read(PIECE)
     while data:
         piece = engine.decompress(data, PIECE)
         if piece:
             yield piece
-        data = engine.unconsumed_tail
-        if engine.eof:
+        data, whole = engine.unconsumed_tail, engine.eof
+        if whole:
             data, engine = engine.unused_data, zlib.decompressobj(31)
         data = data or source.read(PIECE)
+    if not whole:
+        raise ValueError("a gzip stream is cut off")
 
 
 def write_monoliths(records: DataFrame, folder: str) -> DataFrame:
@@ -144,6 +149,7 @@ def write_monoliths(records: DataFrame, folder: str) -> DataFrame:
 def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
     """Rewrite files so that every record is a gzip member, with an index beside: path, index, n_records.
 
+    ``monoliths`` has ``path`` and ``n_records``, the records each file should hold or null; a file that holds others fails the job.
     The input stream of a file is inflated once. The index has a line of JSON per record: offset and length of its member,
     type and id. Members and index are written as the records come, so memory holds one record.
     """
@@ -152,7 +158,7 @@ def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         def files():
             for batch in batches:
-                for source in batch.column(0).to_pylist():
+                for source, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     path = unique_file(folder, "members", ".warc.gz")
                     at = n = 0
                     with open_input(source) as data, open_output(path) as target, open_output(path + ".index") as index:
@@ -163,11 +169,13 @@ def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
                             target.write(member)
                             index.write(json.dumps(line).encode() + b"\n")
                             at, n = at + len(member), n + 1
+                    if n != (n if wanted is None else wanted):
+                        raise ValueError(f"{source}: {n} records, not {wanted}")
                     yield path, path + ".index", n
 
         yield from batches_of(out, files(), size=1)
 
-    dealt = monoliths.repartition(max(1, monoliths.count()), "path")
+    dealt = monoliths.select("path", "n_records").repartition(max(1, monoliths.count()), "path")
     return stage(dealt.mapInArrow(run, "path string, index string, n_records bigint"), "members")
 
 
