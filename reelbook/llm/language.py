@@ -31,7 +31,39 @@ PRIOR_ROWS = 20.0
 NO_LANGUAGE = 1e-3
 #: Posterior from which a row is accepted.
 ACCEPT = 0.5
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
+_UNREAD = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_UNREAD_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+
+
+def without_markup(text: str) -> str:
+    """Text with a space for each script, style sheet, comment and tag; what is opened and never closed stays text.
+
+    One pass: every search goes on behind the last one, and a closing mark once not found is not looked for again.
+    """
+    kept: list[str] = []
+    missing: set[str] = set()
+    done = 0
+    at = text.find("<")
+    while at >= 0:
+        end = -1
+        if (opened := _UNREAD.match(text, at)) and (name := opened[1].lower()) in _UNREAD_END and name not in missing:
+            closed = _UNREAD_END[name].search(text, opened.end())
+            end = closed.end() if closed else -1
+            if not closed:
+                missing.add(name)
+        elif text.startswith("<!--", at) and "-->" not in missing:
+            end = text.find("-->", at + 4) + 3
+            if end < 3:
+                end = -1
+                missing.add("-->")
+        if end < 0:
+            end = text.find(">", at) + 1
+            if not end:
+                break
+        kept.append(text[done:at])
+        done, at = end, text.find("<", end)
+    kept.append(text[done:])
+    return " ".join(kept)
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -65,7 +97,7 @@ def evidence(rows: DataFrame, *, key: str, text: str, declared: str | None = Non
         F.coalesce(F.col(host).cast("string"), F.lit("")) if host else F.lit(""))
     said = _primary(F.col(declared).cast("string")) if declared else F.lit(None).cast("string")
     if markup:
-        said = F.coalesce(said, _primary(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)", 1)))
+        said = F.coalesce(said, _primary(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(?i)<html\b[^<>]*?\blang\s*+=\s*+(?:[\"']\s*+)?+([A-Za-z0-9_-]+)", 1)))
     return rows.select(
         F.col(key).cast("bigint").alias("_key"), F.col(text).cast("string").alias("text"),
         said.alias("declared"), address.alias("host"), F.regexp_extract(address, r"\.([^.]+)$", 1).alias("suffix"),
@@ -80,7 +112,7 @@ def _trigram_counts(found: DataFrame, markup: bool, languages: tuple[str, ...])
         seen = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for said, text in texts_of(batch, "text", "declared"):
-                seen[languages.index(said)] += np.bincount(_trigrams(_TAGS.sub(" ", text) if markup else text), minlength=BUCKETS)
+                seen[languages.index(said)] += np.bincount(_trigrams(without_markup(text) if markup else text), minlength=BUCKETS)
         cells = np.flatnonzero(seen)
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(seen.ravel()[cells])], schema=out)
@@ -102,7 +134,7 @@ def _likelihoods(found: DataFrame, counts: np.ndarray, markup: bool) -> DataFram
         def rows():
             for batch in batches:
                 for k, said, host, suffix, text in texts_of(batch, "text", "_key", "declared", "host", "suffix"):
-                    grams = _trigrams(_TAGS.sub(" ", text) if markup else text)
+                    grams = _trigrams(without_markup(text) if markup else text)
                     n = len(grams)
                     total = model @ np.bincount(grams, minlength=BUCKETS) if n else np.zeros(len(model))
                     yield k, said, host, suffix, total * (min(n, MOST_WEIGHT) / max(n, 1)), n
