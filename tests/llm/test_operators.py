@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeated rows."""
 
+import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -313,3 +315,30 @@ def test_kth_largest(spark, monkeypatch):
     table = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 7, 150, 300):
         assert importance.kth_largest(table, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_cut_archives_are_refused(spark, tmp_path):
+    engine, data = zlib.compressobj(4, zlib.DEFLATED, 31), b""
+    records = [warc.record(i, f"http://h/{i}", b"%d" % i * 9, hashlib.sha1(b"%d" % i * 9).hexdigest(), "response", None) for i in range(6)]
+    for r in records:
+        data += engine.compress(r) + engine.flush(zlib.Z_SYNC_FLUSH)
+    data += engine.flush()
+    read = lambda b: list(warc.records_of(warc.inflated(io.BytesIO(b))))
+    assert read(data) == records and read(data + gzip.compress(records[0])) == records + records[:1]
+    for cut in range(len(data)):
+        with pytest.raises((ValueError, zlib.error)):
+            read(data[:cut])
+    with pytest.raises((ValueError, zlib.error)):
+        read(data + gzip.compress(records[0])[:-1])
+    (tmp_path / "whole.warc.gz").write_bytes(data)
+    listed = prepare(spark).createDataFrame([(f"{tmp_path}/whole.warc.gz", 6)], "path string, n_records long")
+    assert warc.normalise(listed, str(tmp_path / "out")).collect()[0]["n_records"] == 6
+    with pytest.raises(Exception, match="6 records, not 7"):
+        warc.normalise(listed.withColumn("n_records", F.lit(7)), str(tmp_path / "out2"))
+
+
+def test_repeated_pages_are_records_of_their_own(spark):
+    rows = [(1, "u", "p" * 2000), (1, "u", "p" * 2000), (None, None, "p" * 2000), (3, "u", None), (3, "u", "")]
+    found = warc.archive_round_trip(prepare(spark).createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in found) == [
+        (0, 2000, "revisit", 1), (1, 2000, "response", 0), (1, 2000, "response", 0), (3, 0, "response", 0), (3, 0, "response", 0)]
