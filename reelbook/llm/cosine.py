@@ -1,8 +1,9 @@
-"""Near-duplicate embeddings: tiles in principal-component order, compared leading dimensions first.
+"""Near-duplicate embeddings: tiles of cells along the principal axes, compared leading axes first.
 
 Unit vectors are turned into the principal axes of all vectors. The products of the leading axes are added up first; what the
-others can add is at most the product of the two vectors' norms over them (Cauchy and Schwarz), so most pairs are given up
-early. Tiles are runs along the first axis; two tiles whose values there lie too far apart for any link are not compared.
+others can add is at most the product of the two vectors' norms over them (Cauchy and Schwarz), so nearly all pairs are given up
+there. Tiles are cells along the leading axes, kept in files of the shared folder with the range of each coordinate; two tiles
+that lie too far apart for any link are not compared, the others are read where they are.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbook.llm.common import batches_of, components, prepare
+from reelbook.llm.common import components, open_input, open_output, prepare, shared_files, unique_file
 from reelbook.llm.vectors import usable
 from reelbook.session import stage
 
 #: Vectors of a tile, about.
 TILE = 4096
-#: Leading axes whose products are added before the bound is looked at again.
-STEPS = (8, 24)
-#: Room for rounding in bounds; pairs this near the threshold are decided in the given coordinates.
-ROUNDING = 1e-9
+#: Rows of a tile whose products are held at a time.
+STRIP = 256
+#: Rows a tile should have in the sample that places the cuts between cells, and rows of the sample at most. Cells say how soon
+#: two tiles are told apart; what is compared does not hang on them.
+SAMPLED, SAMPLE = 64, 1 << 16
+#: Tiles a task compares with one tile, and tasks at most.
+RUN, TASKS = 4, 20_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -34,98 +38,227 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes of all unit vectors of a dimension, by descending variance: one ``dim`` x ``dim`` sum per task, added up."""
+def principal_axes(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Principal axes of all unit vectors of a dimension, by descending variance, their shares of it, and the number of vectors.
+
+    One ``dim`` x ``dim`` sum per task, added up.
+    """
     out = pa.schema([("cell", pa.int32()), ("total", pa.float64())])
 
     def sums(batches):
-        total = np.zeros((dim + 1, dim))
+        total = np.zeros(dim * dim + 1)
         for batch in batches:
             if batch.num_rows:
                 u = _unit(_matrix(batch.column(0)))
-                total[:dim] += u.T @ u
-                total[dim] += u.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], schema=out)
+                total[:-1] += (u.T @ u).ravel()
+                total[-1] += len(u)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total)], schema=out)
 
     found = vectors.select("vector").mapInArrow(sums, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect()
-    total = np.zeros((dim + 1) * dim)
-    for r in found:  # (dim + 1) * dim numbers
+    total = np.zeros(dim * dim + 1)
+    for r in found:  # dim * dim + 1 numbers
         total[r["cell"]] = r["total"]
-    moments = total.reshape(dim + 1, dim)
-    return np.linalg.eigh(moments[:dim])[1][:, ::-1]
-
-
-def linked_pairs(one: np.ndarray, other: np.ndarray, axes: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of one, of other) with cosine ``least`` or more; unit vectors in the given coordinates. Of one tile i < j."""
-    a, b = one @ axes, other @ axes
-    dim = a.shape[1]
-    ends = [*(s for s in STEPS if s < dim), dim]
-    found_i, found_j = [], []
-    for at in range(0, len(a), 512):
-        strip = a[at : at + 512]
-        partial = strip[:, : ends[0]] @ b[:, : ends[0]].T
-        tail_a, tail_b = (np.sqrt(np.maximum((x[:, ends[0] :] ** 2).sum(axis=1), 0)) for x in (strip, b))
-        i, j = np.nonzero(partial + np.outer(tail_a, tail_b) >= least - ROUNDING)
-        if same:
-            keep = i + at < j
-            i, j = i[keep], j[keep]
-        for cut in range(0, len(i), 1 << 16):
-            p, q = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-            total, start = partial[p, q], ends[0]
-            for end in ends[1:]:
-                total = total + np.einsum("ij,ij->i", strip[p, start:end], b[q, start:end])
-                rest = np.sqrt((strip[p, end:] ** 2).sum(axis=1) * (b[q, end:] ** 2).sum(axis=1))
-                keep = total + rest >= least - ROUNDING
-                p, q, total, start = p[keep], q[keep], total[keep], end
-            exact = np.einsum("ij,ij->i", one[p + at], other[q])
-            keep = exact >= least
-            found_i.append(p[keep] + at)
-            found_j.append(q[keep])
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of pairs of numbers."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := above.setdefault(x, x)) != x:
-            above[x] = above[up]
-            x = up
-        return x
-
-    kept = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        one, other = top(a), top(b)
-        if one != other:
-            above[max(one, other)] = min(one, other)
-            kept.append((a, b))
-    return kept
-
-
-#: What a pair of tiles gives: links of a vector (kind 0) and edges of a forest (kind 1).
+    shares, axes = np.linalg.eigh(total[:-1].reshape(dim, dim) / total[-1])
+    return np.ascontiguousarray(axes[:, ::-1]), np.maximum(shares[::-1], 0), int(total[-1])
+
+
+def leading_axes(shares: np.ndarray, least: float) -> int:
+    """Axes to look at first: as many as give up a pair of ordinary vectors, its leading product three deviations above none."""
+    bound = 1 - np.cumsum(shares) + 3 * np.sqrt(np.cumsum(shares * shares))
+    enough = np.nonzero(bound <= least)[0]
+    return int(enough[0]) + 1 if len(enough) else len(shares)
+
+
+def coordinates(unit: np.ndarray, axes: np.ndarray, leading: int) -> np.ndarray:
+    """Places on the leading axes and, last, the norm over the others: never farther apart than the vectors are."""
+    turned = unit @ axes[:, :leading]
+    rest = unit @ axes[:, leading:]
+    return np.concatenate([turned, np.sqrt((rest * rest).sum(axis=1, keepdims=True))], axis=1).astype(np.float32)
+
+
+def room(leading: int) -> float:
+    """What rounding to single precision can take from a sum over the coordinates of unit vectors."""
+    return (leading + 8) * 2.0**-22
+
+
+def linked_pairs(one: np.ndarray, other: np.ndarray, near_one: np.ndarray, near_other: np.ndarray, least: float, same: bool):
+    """Pairs (rows of one, of other) with cosine ``least`` or more, a strip of ``one`` at a time. Of one tile i < j.
+
+    ``one`` and ``other`` hold unit vectors in the given coordinates, which decide; ``near_one`` and ``near_other`` their
+    ``coordinates``.
+    """
+    width = -(-len(other) // 8) * 8
+    across = np.zeros((near_other.shape[1], width), np.float32)
+    across[:, : len(other)] = near_other.T
+    bar = np.float32(least - room(near_one.shape[1]))
+    for at in range(0, len(one), STRIP):
+        likely = near_one[at : at + STRIP] @ across >= bar
+        eights = np.flatnonzero(likely.reshape(-1).view(np.uint64))  # nearly all are empty
+        which, place = np.nonzero(likely.reshape(-1, 8)[eights])
+        i, j = np.divmod(eights[which] * 8 + place, width)
+        keep = (i + at < j) & (j < len(other)) if same else j < len(other)
+        i, j = i[keep] + at, j[keep]
+        for cut in range(0, len(i), 1 << 15):
+            p, q = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
+            keep = np.einsum("ij,ij->i", one[p], other[q]) >= least
+            yield p[keep], q[keep]
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (least number of the component of each number) once i and j are linked as well."""
+    while True:
+        x, y = root[i], root[j]
+        apart = x != y
+        if not apart.any():
+            return root
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+# Tiles -----------------------------------------------------------------------------------------------------------------
+
+
+class Cells:
+    """Cells that halve the leading coordinates again and again where they spread most; ``tiles`` in all, of like size."""
+
+    def __init__(self, sample: np.ndarray, tiles: int):
+        self.axis, self.cut, self.below, self.above, self.first, self.parts = [], [], [], [], [], []
+        self.tiles = 0
+        self._grow(sample, tiles)
+        self._made = [np.array(x) for x in (self.axis, self.cut, self.below, self.above, self.first, self.parts)]
+
+    def _grow(self, sample: np.ndarray, tiles: int) -> int:
+        me = len(self.axis)
+        for x in (self.axis, self.cut, self.below, self.above, self.first, self.parts):
+            x.append(0)
+        self.axis[me] = -1
+        if tiles > 1 and len(sample) >= SAMPLED:
+            axis = int(sample.var(axis=0).argmax())
+            cut = np.quantile(sample[:, axis], (tiles // 2) / tiles, method="lower")
+            low = sample[:, axis] <= cut
+            if not low.all():
+                share = min(tiles - 1, max(1, round(tiles * low.mean())))
+                self.axis[me], self.cut[me] = axis, float(cut)
+                self.below[me] = self._grow(sample[low], share)
+                self.above[me] = self._grow(sample[~low], tiles - share)
+                return me
+        self.first[me], self.parts[me] = self.tiles, tiles
+        self.tiles += tiles
+        return me
+
+    def tile(self, near: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Tile of each row. A cell that could not be cut further is dealt to its tiles by a hash of the node."""
+        axis, cut, below, above, first, parts = self._made
+        at = np.zeros(len(near), np.int64)
+        while (inner := np.flatnonzero(axis[at] >= 0)).size:
+            here = at[inner]
+            at[inner] = np.where(near[inner, axis[here]] <= cut[here], below[here], above[here])
+        dealt = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return first[at] + (dealt % parts[at].astype(np.uint64)).astype(np.int64)
+
+
+def cells_of(vectors: DataFrame, axes: np.ndarray, leading: int, n: int) -> Cells:
+    """Cells for ``n`` vectors, cut at the quantiles of a bounded sample."""
+    tiles = max(1, -(-n // TILE))
+    if tiles == 1:
+        return Cells(np.zeros((0, leading + 1)), 1)
+
+    def coordinates_of(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = coordinates(_unit(_matrix(batch.column(0))), axes, leading)
+                yield pa.RecordBatch.from_arrays([pa.array(near.tolist(), pa.list_(pa.float32()))], names=["near"])
+
+    drawn = vectors.sample(min(1.0, min(SAMPLED * tiles, SAMPLE) / n), seed=7).select("vector")
+    rows = drawn.mapInArrow(coordinates_of, "near array<float>").collect()  # about SAMPLE short rows at most
+    return Cells(np.array([r["near"] for r in rows], dtype=np.float32).reshape(-1, leading + 1), tiles)
+
+
+def _fixed(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1])
+
+
+def tile_files(vectors: DataFrame, cells: Cells, axes: np.ndarray, leading: int) -> DataFrame:
+    """Writes the tiles; one row per tile: tile, path, and the least and greatest value of each coordinate (lo, hi)."""
+    folder = shared_files(vectors.sparkSession, "cosine-tiles")
+    placed_schema = pa.schema([("tile", pa.int64()), ("node", pa.int64()), ("m", pa.int64()), ("vector", pa.list_(pa.float64()))])
+    out = pa.schema([("tile", pa.int64()), ("path", pa.string()), ("lo", pa.list_(pa.float32())), ("hi", pa.list_(pa.float32()))])
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                node, m, vector = batch.columns
+                tile = cells.tile(coordinates(_unit(_matrix(vector)), axes, leading), node.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(tile), node, m, vector.cast(pa.list_(pa.float64()))], schema=placed_schema)
+
+    def write(rows: pa.Table) -> pa.Table:
+        unit = _unit(_matrix(rows.column("vector")))
+        near = coordinates(unit, axes, leading)
+        path = unique_file(folder, "tile", ".arrow")
+        kept = pa.table([rows.column("node"), rows.column("m"), _fixed(unit), _fixed(near)], names=["node", "m", "unit", "near"])
+        with open_output(path) as stream, pa.ipc.new_file(stream, kept.schema) as file:
+            file.write_table(kept)
+        tile = rows.column("tile")[0].as_py()
+        return pa.table([pa.array(x, t.type) for x, t in zip(([tile], [path], [near.min(axis=0).tolist()], [near.max(axis=0).tolist()]), out)], schema=out)
+
+    placed = vectors.select("node", "m", "vector").mapInArrow(place, "tile bigint, node bigint, m bigint, vector array<double>")
+    return placed.groupBy("tile").applyInArrow(write, "tile bigint, path string, lo array<float>, hi array<float>")
+
+
+def _read_tile(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    with open_input(path) as stream:
+        found = pa.ipc.open_file(stream).read_all().combine_chunks()
+    matrix = lambda c: (x := found.column(c).chunk(0)).flatten().to_numpy().reshape(len(x), -1)
+    return found.column("node").to_numpy(), found.column("m").to_numpy(), matrix("unit"), matrix("near")
+
+
+def _near_tiles(tiles: DataFrame, least: float, leading: int) -> DataFrame:
+    """Tiles to compare with each other or themselves, up to ``RUN`` with one: path and others (paths)."""
+    left, right = tiles.toDF("tile_a", "path", "lo_a", "hi_a"), tiles.toDF("tile_b", "other", "lo_b", "hi_b")
+    less = lambda x, y: F.zip_with(x, y, lambda p, q: p.cast("double") - q)
+    gap = F.zip_with(less("lo_a", "hi_b"), less("lo_b", "hi_a"), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    # Unit vectors with cosine c lie sqrt(2 - 2 c) apart at most, and so do their coordinates.
+    reach = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= 2 - 2 * least + room(leading)
+    pairs = left.join(right, (F.col("tile_a") <= F.col("tile_b")) & reach)
+    return pairs.groupBy("tile_a", "path", F.expr(f"tile_b div {RUN}")).agg(F.collect_list("other").alias("others")).select("path", "others")
+
+
+#: What a comparison gives: links of a vector (kind 0) and edges of a forest (kind 1).
 RESULTS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _comparer(axes: np.ndarray, least: float):
-    """Compares two tiles, or one with itself if the other is empty."""
-
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows:
-            return RESULTS.empty_table()
-        same = not y.num_rows
-        y = x if same else y.rename_columns(["tile_a", "tile_b", "node", "m", "vector"])
-        u, v = _unit(_matrix(x.column("vector"))), _unit(_matrix(y.column("vector")))
-        i, j = linked_pairs(u, v, axes, least, same)
-        kx, ky = x.column("node").to_numpy(), y.column("node").to_numpy()
-        mx, my = x.column("m").to_numpy(), y.column("m").to_numpy()
-        counts: dict[int, int] = {}
-        for k, number in ((kx[i], my[j]), (ky[j], mx[i])):
-            ids, where = np.unique(k, return_inverse=True)
-            for node, c in zip(ids.tolist(), np.bincount(where, number, len(ids)).astype(np.int64).tolist() if len(ids) else []):
-                counts[node] = counts.get(node, 0) + c
-        found = [(0, node, c) for node, c in counts.items()] + [(1, a, b) for a, b in _forest(kx[i], ky[j])]
-        return pa.Table.from_batches(batches_of(RESULTS, iter(found)), RESULTS)
+def _results(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], schema=RESULTS)
+
+
+def _comparer(least: float):
+    """Compares a tile with others: the number of links of each vector, and stars that hold together what the links do."""
+
+    def compare(batches):
+        for batch in batches:
+            for path, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                node, m, unit, near = _read_tile(path)
+                links = np.zeros(len(node), np.int64)
+                for other in others:
+                    same = other == path
+                    node_b, m_b, unit_b, near_b = (node, m, unit, near) if same else _read_tile(other)
+                    links_b = links if same else np.zeros(len(node_b), np.int64)
+                    shift = 0 if same else len(node)
+                    root = np.arange(shift + len(node_b))
+                    for i, j in linked_pairs(unit, unit_b, near, near_b, least, same):
+                        np.add.at(links, i, m_b[j])
+                        np.add.at(links_b, j, m[i])
+                        root = join_roots(root, i, j + shift)
+                    if not same and (some := np.flatnonzero(links_b)).size:
+                        yield _results(0, node_b[some], links_b[some])
+                    both = node if same else np.concatenate([node, node_b])
+                    if (tied := np.flatnonzero(root != np.arange(len(root)))).size:
+                        yield _results(1, both[root[tied]], both[tied])
+                if (some := np.flatnonzero(links)).size:
+                    yield _results(0, node[some], links[some])
 
     return compare
 
@@ -145,24 +278,11 @@ def near_duplicate_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str
     dims = [r["dim"] for r in classes.select("dim").distinct().collect()]  # one per vector length there is
     for dim in sorted(dims):
         own = classes.where(F.col("dim") == dim)
-        axes = principal_axes(own, dim)
-        first = [float(x) for x in axes[:, 0]]
-        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-        along = F.aggregate(F.zip_with("vector", F.array(*map(F.lit, first)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / length
-        placed = own.select("node", "m", "vector", along.alias("along"))
-        n = own.count()
-        tiles = max(1, -(-n // TILE))
-        sorted_ = stage(placed.repartitionByRange(tiles, "along", "node").withColumn("tile", F.spark_partition_id()), "tiles")
-        ends = sorted_.groupBy("tile").agg(F.min("along").alias("lo"), F.max("along").alias("hi"))
-        # Unit vectors with cosine c lie sqrt(2 - 2 c) apart at most, and so do their places on an axis.
-        reach = (2 - 2 * least) ** 0.5 + ROUNDING
-        left, right = ends.toDF("tile_a", "lo_a", "hi_a"), ends.toDF("tile_b", "lo_b", "hi_b")
-        near = (F.col("tile_a") <= F.col("tile_b")) & ~(F.col("lo_b") > F.col("hi_a") + reach)
-        pairs = stage(left.join(right, near).select("tile_a", "tile_b"), "pairs")  # tiles, not vectors
-        one = pairs.join(sorted_.withColumnRenamed("tile", "tile_a"), "tile_a").select("tile_a", "tile_b", "node", "m", "vector")
-        apart = pairs.where(F.col("tile_a") != F.col("tile_b")).select(F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb"))
-        other = apart.join(sorted_.withColumnRenamed("tile", "tb"), "tb").select("ta", "tb", *[F.col(c).alias(f"{c}_b") for c in ("node", "m", "vector")])
-        done = one.groupBy("tile_a", "tile_b").cogroup(other.groupBy("ta", "tb")).applyInArrow(_comparer(axes, least), "kind int, a bigint, b bigint")
+        axes, shares, n = principal_axes(own, dim)
+        leading = leading_axes(shares, least)
+        tiles = stage(tile_files(own, cells_of(own, axes, leading, n), axes, leading), "tiles")
+        runs = stage(_near_tiles(tiles, least, leading), "runs")  # tiles, not vectors
+        done = runs.repartition(max(1, min(runs.count(), TASKS))).mapInArrow(_comparer(least), "kind int, a bigint, b bigint")
         results = done if results is None else results.unionByName(done)
     ids = rows.select(F.col(key).cast("bigint").alias("key"))
     if results is None:
